@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import boilerplate, leaks, near_duplicates, neighbours, splitting, token_ids
+from foliospark.llm import boilerplate, encoding_repair, leaks, near_duplicates, neighbours, scans, splitting, token_ids
 from foliospark.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding_repair.repaired(load(spark, folder, "pages")).select("page_id").distinct()
+
+
+def p1_text(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding_repair.repair_all(load(spark, folder, "pages"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.found_lines(load(spark, folder, "pages"))
 
@@ -20,6 +28,14 @@ def p2_text(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.strip_lines(load(spark, folder, "pages"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.found(load(spark, folder, "pages"), load(spark, folder, "file_meta"))
+
+
+def p3_text(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repaired(load(spark, folder, "pages"), load(spark, folder, "file_meta")).select("page_id", "text")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.neighbour_pairs(load(spark, folder, "vector_index"))
 
@@ -49,7 +65,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p2_found, p2_text, p4_found, p5_found, p5_groups, p7_found, p7_pieces, p8_ids, p9_found)
+    named = (p1_found, p1_text, p2_found, p2_text, p3_found, p3_text, p4_found, p5_found, p5_groups, p7_found, p7_pieces, p8_ids, p9_found)
     return {f.__name__: f for f in named}
 
 
