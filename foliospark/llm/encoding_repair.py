@@ -12,18 +12,17 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.words import code_points
+
 #: Candidate encodings, the usual ones first. Fixed values.
 LEGACY = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1253", "cp1254", "cp1256", "cp1257", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_15", "cp866")
 #: Pairs of an encoding that text was read in and the one it was written in. Fixed values.
 SWAPPED = (("cp1251", "cp1252"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("koi8_r", "cp1252"), ("cp1253", "cp1252"), ("cp1250", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp1256"), ("cp1251", "cp1256"))
-#: What the JVM lets through to the repair: two neighbours that are neither ASCII nor of the Arabic script, a replacement or control
-#: character, Cyrillic or Greek beside Latin, a sign that stands for a letter inside a word.
-SUSPECT = r"[^\x00-\x7F\x{600}-\x{6FF}\x{2000}-\x{200F}]{2}|[\x{80}-\x{9F}\x{FFFD}\x{370}-\x{52F}\x{2500}-\x{25FF}]|â€|[a-zß-ÿ][À-ÖØ-Þ‚„†‡ˆ‰Š‹ŒŽ™š›žŸ¡¢¤¥¦¨ª«¯´¸º¼½¾¿√∂∑∏π∫Ω≈∆◊•˜ı÷×]|[ìòùÌÒÙ][a-z]|(?<!\S)[ûñìîôÆòÙ‡†ªº](?!\S)|[À-ÖØ-Þ]\d|[a-z][ìîû]|[ÃÂ][ \x{A0}]|[A-Z][À-ÖØ-Þ][a-z]"
-
 REPLACEMENT = "�"
 
 
@@ -164,6 +163,45 @@ def repair(text: str) -> tuple[str, int]:
     return text, layers
 
 
+HIGH, ALWAYS, SMALL, ODD, LETTER, DIGIT, SPACE, CAPITAL = (1 << i for i in range(8))
+
+
+@cache
+def _classes() -> np.ndarray:
+    t = np.zeros(0x110000, np.uint8)
+    t[0x80:] = HIGH
+    t[0x600:0x700] = 0
+    t[0x2000:0x2010] = 0
+    for low, high in ((0x80, 0xA0), (0x370, 0x530), (0x2500, 0x2600), (0xFFFD, 0xFFFE)):
+        t[low:high] |= ALWAYS
+    t[0xC0:0x100] |= LETTER
+    t[0x41:0x5B] |= CAPITAL
+    t[0x61:0x7B] |= SMALL
+    t[0xDF:0x100] |= SMALL
+    t[0x30:0x3A] |= DIGIT
+    t[[9, 10, 13, 32]] |= SPACE
+    for c in "‚„†‡ˆ‰Š‹ŒŽ™š›žŸ¡¢¤¥¦¨ª«¯´¸º¼½¾¿√∂∑∏π∫Ω≈∆◊•˜ı÷×ìòùîûÆñô" + "".join(map(chr, range(0xC0, 0xDF))):
+        t[ord(c)] |= ODD
+    return t
+
+
+def suspects(texts: pa.Array) -> np.ndarray:
+    """Indices of the texts that may be garbled, from pairs of neighbouring characters; it lets too many through, none too few."""
+    points, begins = code_points(texts)
+    if not len(points):
+        return np.zeros(0, np.int64)
+    c = _classes()[points]
+    p, q = c[:-1], c[1:]
+    hit = np.zeros(len(c), bool)
+    hit[:-1] = ((p & HIGH) & (q & HIGH) != 0) & ~((p & LETTER != 0) & (q & LETTER != 0))
+    hit[:-1] |= (p & SMALL != 0) & (q & ODD != 0) & ~((points[1:] == 0xF1) | (points[1:] == 0xF4) | (points[1:] == 0xF9))
+    hit[:-1] |= (p & ODD != 0) & (q & (DIGIT | SPACE) != 0)
+    hit[:-1] |= (p & (CAPITAL | SPACE) != 0) & (q & ODD != 0) & np.append(q[1:] & SMALL != 0, False)
+    hit[:-1] |= (points[:-1] == 0xC2) & (q & SPACE != 0)
+    hit |= c & ALWAYS != 0
+    return np.unique(np.searchsorted(begins, np.flatnonzero(hit), side="right") - 1)
+
+
 def repaired(pages: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
     """key, text, layers, lost of every row that was garbled: its repaired text, the layers taken off, characters lost for good.
 
@@ -174,23 +212,41 @@ def repaired(pages: DataFrame, key: str = "page_id", text: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, out, layers, lost = [], [], [], []
-            for i, t in enumerate(b.column(text).to_pylist()):
+            for i, t in _suspect_texts(b.column(text)):
                 new, n = repair(t)
                 gone = t.count(REPLACEMENT)
                 if n or gone:
                     at.append(i), out.append(new), layers.append(n), lost.append(gone)
             yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(at, pa.int64())), pa.array(out, pa.string()), pa.array(layers, pa.int32()), pa.array(lost, pa.int32())], [key, text, "layers", "lost"])
 
-    return pages.select(key, text).filter(F.col(text).rlike(SUSPECT)).mapInArrow(run, schema)
+    # text of ASCII alone, as many bytes as characters, was never garbled
+    return pages.select(key, text).filter(F.octet_length(text) != F.length(text)).mapInArrow(run, schema)
+
+
+def _suspect_texts(column: pa.Array) -> Iterator[tuple[int, str]]:
+    for at in range(0, len(column), 4000):
+        part = column.slice(at, 4000)
+        for i in suspects(part):
+            yield at + int(i), part[int(i)].as_py()
+
+
+def repair_column(column: pa.Array) -> pa.Array:
+    """The column with garbled texts repaired; nulls stay."""
+    new = {i: r for i, t in _suspect_texts(column) if (r := repair(t)[0]) != t}
+    if not new:
+        return column
+    out = column.to_pylist()
+    for i, t in new.items():
+        out[i] = t
+    return pa.array(out, pa.string())
 
 
 def repair_all(pages: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
     """key, text of every row, garbled ones repaired; null stays null."""
-    clean = pages.select(key, text).filter(~F.coalesce(F.col(text).rlike(SUSPECT), F.lit(False)))
     schema = f"{key} {pages.schema[key].dataType.simpleString()}, {text} string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([repair(t)[0] for t in b.column(text).to_pylist()], pa.string())], [key, text])
+            yield pa.RecordBatch.from_arrays([b.column(key), repair_column(b.column(text))], [key, text])
 
-    return clean.unionByName(pages.select(key, text).filter(F.col(text).rlike(SUSPECT)).mapInArrow(run, schema))
+    return pages.select(key, text).mapInArrow(run, schema)
