@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import boilerplate, encoding_repair, leaks, near_duplicates, neighbours, scans, splitting, token_ids
+from foliospark.llm import boilerplate, encoding_repair, language, leaks, near_duplicates, neighbours, scans, splitting, token_ids
 from foliospark.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,14 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(load(spark, folder, "chunks"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.stretches(load(spark, folder, "pages"), load(spark, folder, "page_labels")).select("page_id", "seg_no", "lang")
+
+
+def p6_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    return language.stretches(load(spark, folder, "pages"), load(spark, folder, "page_labels"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized(load(spark, folder, "chunks"))
 
@@ -65,7 +73,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p1_found, p1_text, p2_found, p2_text, p3_found, p3_text, p4_found, p5_found, p5_groups, p7_found, p7_pieces, p8_ids, p9_found)
+    named = (p1_found, p1_text, p2_found, p2_text, p3_found, p3_text, p4_found, p5_found, p5_groups, p6_found, p6_stretches, p7_found, p7_pieces, p8_ids, p9_found)
     return {f.__name__: f for f in named}
 
 

@@ -75,6 +75,11 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
 
 
+def letter_mask(points: np.ndarray) -> np.ndarray:
+    """Which code points are letters."""
+    return _chars()[1][points]
+
+
 @dataclass
 class Words:
     """All words of a batch in reading order. start and end are positions in points; row is the text each stands in."""
