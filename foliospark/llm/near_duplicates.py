@@ -28,23 +28,22 @@ def super_minhash(elements: np.ndarray, owner: np.ndarray, sets: int, slots: int
     """The signatures (sets x slots, uint64) of sets of 64-bit hashes; owner says to which set each element belongs, in ascending order."""
     ranks = np.full((sets, slots), np.iinfo(np.uint64).max, np.uint64)
     flat = ranks.ravel()
-    live = np.arange(len(elements))
     state = np.tile(np.arange(slots, dtype=np.uint16), (len(elements), 1))
-    draw = elements
+    draw, base = elements, owner * slots
     for j in range(slots):
         draw = mix(draw)
-        at = j + ((draw >> np.uint64(40)) % np.uint64(slots - j)).astype(np.int64)
-        lane = np.arange(len(live))
+        # the upper 24 bits choose the slot, the lower 40 are the fraction of the rank j + r
+        at = j + (((draw >> np.uint64(40)) * np.uint64(slots - j)) >> np.uint64(24)).astype(np.int64)
+        lane = np.arange(len(draw))
         slot = state[lane, at]
-        state[lane, at] = state[lane, j]
-        # the step above, 48 random bits below: j + r as an integer
-        np.minimum.at(flat, owner[live] * slots + slot, (np.uint64(j) << np.uint64(48)) | (mix(draw) >> np.uint64(16)))
-        if (j + 1) % 4 == 0 or j < 4:
-            going = (ranks >> np.uint64(48)).max(axis=1) > j + 1 if j + 1 < slots else np.zeros(sets, bool)
-            stay = going[owner[live]]
+        state[lane, at] = state[:, j]
+        np.minimum.at(flat, base + slot, (np.uint64(j) << np.uint64(48)) | (draw & np.uint64((1 << 40) - 1)))
+        if j % 2 and j + 1 < slots:
+            going = (ranks.max(axis=1) >> np.uint64(48)) > j
+            stay = np.repeat(going, np.bincount(base // slots, minlength=sets))
             if not stay.all():
-                live, state, draw = live[stay], state[stay], draw[stay]
-            if not len(live):
+                state, draw, base = state[stay], draw[stay], base[stay]
+            if not len(draw):
                 break
     return ranks
 
@@ -62,7 +61,7 @@ def _sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _keys(hashed: np.ndarray, owner: np.ndarray, sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit keys of each whole set (the low byte of the first is its size on a scale of 3 % steps), and the size."""
+    """Two keys of each whole set, of 48 bits (the low byte is its size on a scale of 3 % steps) and 64 bits, and the size."""
     size = np.bincount(owner, minlength=sets)
     one, two = np.zeros(sets, np.uint64), np.zeros(sets, np.uint64)
     if len(owner):
@@ -70,27 +69,11 @@ def _keys(hashed: np.ndarray, owner: np.ndarray, sets: int) -> tuple[np.ndarray,
         one[owner[begins]] = np.add.reduceat(mix(hashed), begins)
         two[owner[begins]] = np.add.reduceat(mix(hashed ^ np.uint64(0x5BF03635)), begins)
     code = np.minimum(255, np.log(np.maximum(size, 1)) / np.log(1.03)).astype(np.uint64)
-    return (mix(one) & ~np.uint64(255)) | code, mix(two), size
+    return (mix(one) >> np.uint64(24) << np.uint64(8)) | code, mix(two), size
 
 
-def classes(df: DataFrame, key: str, text: str, least_words: int, shingle: int) -> DataFrame:
-    """key, a, b, size: the class (128 bits) of each distinct row with enough words; equal shingle sets have one class."""
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                hashed, owner, count, sets = _sets(part.column("text"), shingle)
-                a, b, size = _keys(hashed, owner, sets)
-                keep = np.flatnonzero((count >= least_words) & (size > 0))
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(keep)), pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64))], ["key", "a", "b"])
-
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & F.col("text").isNotNull())
-    return rows.mapInArrow(compute, f"key {df.schema[key].dataType.simpleString()}, a bigint, b bigint").distinct()
-
-
-def _signed(df: DataFrame, text: str, least_words: int, shingle: int) -> DataFrame:
-    """a, bands (array<bigint>), sketch (binary) of each row with enough words."""
+def signed(df: DataFrame, key: str, text: str, least_words: int, shingle: int) -> DataFrame:
+    """key, a, b, sketch, bands of each row with enough words: its class (a, b), which equal shingle sets share, and its signature."""
     slots = BANDS * ROWS
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +81,7 @@ def _signed(df: DataFrame, text: str, least_words: int, shingle: int) -> DataFra
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 hashed, owner, count, sets = _sets(part.column("text"), shingle)
-                a, _, size = _keys(hashed, owner, sets)
+                a, b, size = _keys(hashed, owner, sets)
                 keep = np.flatnonzero((count >= least_words) & (size > 0))
                 number = np.full(sets, -1)
                 number[keep] = np.arange(len(keep))
@@ -107,44 +90,89 @@ def _signed(df: DataFrame, text: str, least_words: int, shingle: int) -> DataFra
                 band = np.zeros((len(keep), BANDS), np.uint64)
                 for r in range(ROWS):
                     band = mix(band ^ sig[:, r::ROWS])
-                band = (band & ~np.uint64(63)) | np.arange(BANDS, dtype=np.uint64)[None, :]
-                nibbles = (sig[:, :SLOTS] & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+                band = mix(band ^ np.arange(BANDS, dtype=np.uint64)[None, :]) >> np.uint64(24)
+                nibbles = (mix(sig[:, :SLOTS]) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
                 sketch = (nibbles[:, ::2] << BITS) | nibbles[:, 1::2]
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * BANDS, pa.int32()), pa.array(band.ravel().view(np.int64))), pa.array([s.tobytes() for s in sketch], pa.binary())], ["a", "bands", "sketch"])
+                packed = np.zeros((len(keep), BANDS, 5), np.uint8)
+                for k in range(5):
+                    packed[:, :, k] = (band >> np.uint64(8 * k)) & np.uint64(255)
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(keep)), pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([x.tobytes() for x in packed], pa.binary())], ["key", "a", "b", "sketch", "bands"])
 
-    return df.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).mapInArrow(compute, "a bigint, bands array<bigint>, sketch binary")
-
-
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of one bucket whose sizes allow the similarity; buckets come as sorted arrays of classes."""
-    for b in batches:
-        left, right = [], []
-        for members in b.column("members"):
-            m = np.asarray(members.values, np.int64)
-            code = m.view(np.uint64) & np.uint64(255)
-            order = np.argsort(code, kind="stable")
-            m, code = m[order], code[order].astype(np.int64)
-            reach = np.searchsorted(code, code + REACH, side="right")
-            for i in range(len(m) - 1):
-                other = m[i + 1 : reach[i]]
-                left.append(np.minimum(m[i], other)), right.append(np.maximum(m[i], other))
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull() & F.col("text").isNotNull())
+    return rows.mapInArrow(compute, f"key {df.schema[key].dataType.simpleString()}, a bigint, b bigint, sketch binary, bands binary")
 
 
 #: Steps on the size scale that sets of similarity 0.6 can be apart: log(1 / 0.6) / log(1.03), and one for rounding.
 REACH = 18
+#: Entries of the band index that one block should hold.
+BLOCK = 500_000
+_ENTRY = np.dtype([("h", "<u4"), ("low", "<u4"), ("high", "<u2")])
+
 
+def _index_blocks(parts: int):
+    """Rows of a block number and packed entries (the rest of a band's hash, the class) for it: the index travels in blocks."""
 
-def candidate_pairs(df: DataFrame, text: str, least_words: int, shingle: int, threshold: float) -> DataFrame:
-    """x, y: keys of classes that meet in a band and whose sketches don't rule out the threshold."""
-    signed = materialise(_signed(df, text, least_words, shingle).dropDuplicates(["a"]), "signed")
-    buckets = signed.select("a", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_set("a").alias("members")).filter(F.size("members") > 1)
-    met = buckets.select("members").mapInArrow(_bucket_pairs, "x bigint, y bigint").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a = b.column("a").to_numpy().view(np.uint64)
+            raw = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.uint8).reshape(-1, 5)
+            hashed = np.zeros(len(raw), np.uint64)
+            for k in range(5):
+                hashed |= raw[:, k].astype(np.uint64) << np.uint64(8 * k)
+            block, own = (hashed % np.uint64(parts)).astype(np.int64), np.repeat(a, BANDS)
+            entry = np.empty(len(raw), _ENTRY)
+            entry["h"], entry["low"], entry["high"] = (hashed // np.uint64(parts)) & np.uint64(0xFFFFFFFF), own & np.uint64(0xFFFFFFFF), own >> np.uint64(32)
+            order = np.argsort(block, kind="stable")
+            block, entry = block[order], entry[order]
+            begins = np.flatnonzero(np.diff(block, prepend=-1))
+            ends = np.append(begins[1:], len(block))
+            yield pa.RecordBatch.from_arrays([pa.array(block[begins].astype(np.int32)), pa.array([entry[x:y].tobytes() for x, y in zip(begins, ends, strict=True)], pa.binary())], ["block", "entries"])
+
+    return run
+
+
+def _block_pairs(raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes of a block that share a band's hash and whose sizes allow the similarity, a slice at a time."""
+    entry = np.frombuffer(b"".join(raw), _ENTRY)
+    own = entry["low"].astype(np.uint64) | (entry["high"].astype(np.uint64) << np.uint64(32))
+    order = np.lexsort((own, entry["h"]))
+    h, own = entry["h"][order], own[order].astype(np.int64)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    h, own = h[new], own[new]
+    size, at, d = own & 255, np.arange(len(h)), 1
+    while True:
+        at = at[at + d < len(h)]
+        at = at[h[at] == h[at + d]]
+        if not len(at):
+            return
+        near = at[np.abs(size[at] - size[at + d]) <= REACH]
+        if len(near):
+            yield pa.RecordBatch.from_arrays([pa.array(own[near]), pa.array(own[near + d])], ["x", "y"])
+        d += 1
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block, raw = None, []
+    for b in batches:
+        for at, entries in zip(b.column("block").to_pylist(), b.column("entries").to_pylist(), strict=True):
+            if at != block:
+                yield from _block_pairs(raw)
+                block, raw = at, []
+            raw.append(entries)
+    yield from _block_pairs(raw)
+
+
+def candidate_pairs(table: DataFrame, threshold: float) -> DataFrame:
+    """x, y: keys a of classes that meet in a band and whose sketches don't rule out the threshold."""
+    parts = max(12, table.count() * BANDS // BLOCK)
+    index = table.select("a", "bands").mapInArrow(_index_blocks(parts), "block int, entries binary")
+    met = index.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_met, "x bigint, y bigint").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     chance = 1 / (1 << BITS)
     expect = threshold + (1 - threshold) * chance
     least = int(SLOTS * (expect - 4 * (expect * (1 - expect) / SLOTS) ** 0.5))
-    one, two = signed.select(F.col("a").alias("x"), F.col("sketch").alias("s")), signed.select(F.col("a").alias("y"), F.col("sketch").alias("t"))
+    sketches = table.select("a", "b", "sketch").dropDuplicates(["a", "b"])
+    one, two = sketches.select(F.col("a").alias("x"), F.col("sketch").alias("s")), sketches.select(F.col("a").alias("y"), F.col("sketch").alias("t"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,26 +182,54 @@ def candidate_pairs(df: DataFrame, text: str, least_words: int, shingle: int, th
             keep = pa.array(np.flatnonzero(same >= least))
             yield pa.RecordBatch.from_arrays([b.column("x").take(keep), b.column("y").take(keep)], ["x", "y"])
 
-    return met.join(one, "x").join(two, "y").mapInArrow(alike, "x bigint, y bigint")
+    return met.join(one, "x").join(two, "y").mapInArrow(alike, "x bigint, y bigint").distinct()
+
 
+#: Bits of the filter that spares rows that are in no candidate pair the shuffle: 16 for each class wanted, at most so many.
+MOST_BITS = 1 << 28
 
-def verified(df: DataFrame, text: str, least_words: int, shingle: int, threshold: float) -> DataFrame:
-    """x, xb, y, yb, similarity: pairs of different classes with at least the threshold, exactly."""
-    pairs = materialise(candidate_pairs(df, text, least_words, shingle, threshold), "candidates")
+
+def _filter_bits(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter (one hash) of the classes in candidate pairs: of bounded size, made on the executors; it only lets too many through."""
+    bits = min(MOST_BITS, 1 << max(16, (16 * wanted.count()).bit_length()))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            at = mix(b.column("a").to_numpy().view(np.uint64)) & np.uint64(bits - 1)
+            np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        used = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used].astype(np.int16))], ["at", "byte"])
+
+    table = np.zeros(bits // 8, np.uint8)
+    merged = wanted.coalesce(8).mapInArrow(fill, "at bigint, byte smallint").groupBy("at").agg(F.bit_or("byte").alias("byte"))
+    got = merged.toArrow()
+    table[got.column("at").to_numpy()] = got.column("byte").to_numpy().astype(np.uint8)
+    return table
+
+
+def verified(df: DataFrame, table: DataFrame, text: str, least_words: int, shingle: int, threshold: float) -> DataFrame:
+    """x, xb, y, yb, similarity: pairs of different classes (x, xb), (y, yb) with at least the threshold, exactly."""
+    pairs = materialise(candidate_pairs(table, threshold), "candidates")
+    twice = table.groupBy("a").agg(F.min("b").alias("one"), F.max("b").alias("two")).filter(F.col("one") != F.col("two")).select(F.col("a").alias("x"), F.col("a").alias("y"))
+    pairs = pairs.unionByName(twice)
     wanted = pairs.select(F.col("x").alias("a")).union(pairs.select(F.col("y").alias("a"))).distinct()
+    sent = df.sparkSession.sparkContext.broadcast(_filter_bits(wanted))  # bounded by MOST_BITS
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 hashed, owner, count, sets = _sets(batch.column("text").slice(i, 2000), shingle)
                 a, b, size = _keys(hashed, owner, sets)
-                ends = np.cumsum(size)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(hashed.view(np.int64)))
-                keep = pa.array(np.flatnonzero((count >= least_words) & (size > 0)))
+                at = mix(a) & np.uint64(8 * len(bits) - 1)
+                hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(hashed.view(np.int64)))
+                keep = pa.array(np.flatnonzero((count >= least_words) & (size > 0) & (hit > 0)))
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)).take(keep), pa.array(b.view(np.int64)).take(keep), lists.take(keep)], ["a", "b", "set"])
 
     sets = df.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).mapInArrow(hashes, "a bigint, b bigint, set array<bigint>")
-    needed = materialise(sets.join(wanted, "a", "left_semi").dropDuplicates(["a", "b"]), "sets")
+    needed = materialise(sets.dropDuplicates(["a", "b"]), "sets")
     one, two = (needed.select(F.col("a").alias(n), F.col("b").alias(f"{n}b"), F.col("set").alias(f"s{n}")) for n in "xy")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +243,7 @@ def verified(df: DataFrame, text: str, least_words: int, shingle: int, threshold
             keep = pa.array(np.flatnonzero(sim >= threshold - 1e-12))
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(keep) for c in ("x", "xb", "y", "yb")), pa.array(sim).take(keep)], ["x", "xb", "y", "yb", "similarity"])
 
-    same = needed.groupBy("a").agg(F.collect_list("b").alias("bs")).filter(F.size("bs") > 1).select(F.col("a").alias("x"), F.col("a").alias("y"))
-    joined = pairs.unionByName(same).join(one, "x").join(two, "y").filter((F.col("x") != F.col("y")) | (F.col("xb") < F.col("yb")))
+    joined = pairs.join(one, "x").join(two, "y").filter((F.col("x") != F.col("y")) | (F.col("xb") < F.col("yb")))
     return joined.mapInArrow(exact, "x bigint, xb bigint, y bigint, yb bigint, similarity double")
 
 
@@ -198,9 +253,9 @@ def near_duplicate_pairs(df: DataFrame, key: str = "id", text: str = "content",
     Null or blank contents and those under least_words take no part; rows with one key and one content count once, rows with one key and
     two contents take part with both; the result is distinct; an empty table gives no rows.
     """
-    member = materialise(classes(df, key, text, least_words, shingle), "classes")
-    links = verified(df, text, least_words, shingle, threshold).select("x", "xb", "y", "yb")
-    again = member.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(F.col("a").alias("x"), F.col("b").alias("xb"), F.col("a").alias("y"), F.col("b").alias("yb"))
+    member = materialise(signed(df, key, text, least_words, shingle), "signed")
+    links = verified(df, member, text, least_words, shingle, threshold).select("x", "xb", "y", "yb")
+    again = member.groupBy("a", "b").agg(F.min("key").alias("k1"), F.max("key").alias("k2")).filter(F.col("k1") != F.col("k2")).select(F.col("a").alias("x"), F.col("b").alias("xb"), F.col("a").alias("y"), F.col("b").alias("yb"))
     one, two = (member.select(F.col("a").alias(n), F.col("b").alias(f"{n}b"), F.col("key").alias(f"k{n}")) for n in "xy")
     pairs = links.unionByName(again).join(one, ["x", "xb"]).join(two, ["y", "yb"]).filter(F.col("kx") != F.col("ky"))
     return pairs.select(F.least("kx", "ky").alias("id_a"), F.greatest("kx", "ky").alias("id_b")).distinct()
@@ -212,8 +267,8 @@ def near_duplicate_groups(df: DataFrame, key: str = "id", text: str = "content",
     Groups are the connected components of the pairs, found over classes by union-find in rounds: every class takes the least label
     among its neighbours and its label's label, until nothing changes.
     """
-    member = materialise(classes(df, key, text, least_words, shingle), "classes")
-    links = materialise(verified(df, text, least_words, shingle, threshold).select("x", "xb", "y", "yb").select(F.xxhash64("x", "xb").alias("x"), F.xxhash64("y", "yb").alias("y")), "links")
+    member = materialise(signed(df, key, text, least_words, shingle), "signed")
+    links = materialise(verified(df, member, text, least_words, shingle, threshold).select("x", "xb", "y", "yb").select(F.xxhash64("x", "xb").alias("x"), F.xxhash64("y", "yb").alias("y")), "links")
     both = links.union(links.select("y", "x")).distinct()
     label = both.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node"))
     while True:
@@ -225,5 +280,5 @@ def near_duplicate_groups(df: DataFrame, key: str = "id", text: str = "content",
         label = after.select("node", "label")
         if not changed:
             break
-    node = member.withColumn("node", F.xxhash64("a", "b"))
+    node = member.select("key", F.xxhash64("a", "b").alias("node"))
     return node.join(label, "node", "left").select(F.col("key").alias(key), F.coalesce("label", "node").alias("group")).distinct()
