@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import boilerplate, encoding_repair, language, leaks, near_duplicates, neighbours, scans, splitting, token_ids
+from foliospark.llm import boilerplate, encoding_repair, language, leaks, near_duplicates, neighbours, scans, splitting, subjects, token_ids
 from foliospark.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,8 +72,20 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(load(spark, folder, "documents"), load(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
+def _areas(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subject_areas(load(spark, folder, "documents"), load(spark, folder, "doc_labels"), load(spark, folder, "subject_areas"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _areas(spark, folder).select("doc_id", "area")
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.composition(_areas(spark, folder))
+
+
 def queries() -> dict[str, Query]:
-    named = (p1_found, p1_text, p2_found, p2_text, p3_found, p3_text, p4_found, p5_found, p5_groups, p6_found, p6_stretches, p7_found, p7_pieces, p8_ids, p9_found)
+    named = (p1_found, p1_text, p2_found, p2_text, p3_found, p3_text, p4_found, p5_found, p5_groups, p6_found, p6_stretches, p7_found, p7_pieces, p8_ids, p9_found, p10_found, p10_composition)
     return {f.__name__: f for f in named}
 
 
