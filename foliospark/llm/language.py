@@ -1,8 +1,8 @@
 """Languages of pages and of their stretches (problem 6).
 
 A linear-chain conditional random field labels every word: hashed affix, character n-gram and lexicon features give its scores, learned
-transitions link neighbours, forward-backward gives the probabilities and the best path. It is trained here on a bounded sample of
-labelled pages in two rounds: the first trusts the page labels; its own paths, on pages where it agrees with the label, then give word
+transitions link neighbours, and forward-backward gives the probabilities of each word's labels. It is trained here on a bounded sample of
+labelled pages in two rounds: the first trusts the page labels; its own labels, on pages where it agrees with the label, then give word
 labels, code switches included, for the second. Runs of a language that are too short join their neighbours.
 """
 
@@ -56,51 +56,40 @@ def _steps(lengths: np.ndarray) -> np.ndarray:
     return np.searchsorted(-lengths, -np.arange(1, lengths.max(initial=0) + 1), side="right")
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals (sequences, words, labels) and expected transitions; scores are logarithms, sequences stand in descending length."""
-    e = np.exp(scores - scores.max(axis=2, keepdims=True))
+#: Steps between rescalings of forward and backward values, which keeps them in the range of double precision.
+RESCALE = 4
+
+
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals (words, sequences, labels) and, if asked for, expected transitions.
+
+    scores (words, sequences, labels) are logarithms; sequences stand in descending order of length.
+    """
+    e = np.exp(scores - scores.max(axis=2, keepdims=True)).astype(np.float64)
     a, live = np.exp(trans), _steps(lengths)
-    alpha, beta = np.zeros_like(e), np.ones_like(e)
+    alpha, pair = np.zeros_like(e), np.zeros_like(trans, dtype=np.float64)
     if not len(live):
-        return alpha, np.zeros_like(trans)
-    alpha[:, 0] = e[:, 0] * np.exp(start)
-    alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
+        return alpha, pair
+    alpha[0] = e[0] * np.exp(start)
     for t in range(1, len(live)):
         n = live[t]
-        x = (alpha[:n, t - 1] @ a) * e[:n, t]
-        alpha[:n, t] = x / x.sum(axis=1, keepdims=True)
-    pair = np.zeros_like(trans, dtype=np.float64)
+        x = (alpha[t - 1, :n] @ a) * e[t, :n]
+        if t % RESCALE == 0:
+            x /= x.sum(axis=1, keepdims=True)
+        alpha[t, :n] = x
+    beta, back = np.ones_like(e[0]), a.T.copy()
     for t in range(len(live) - 2, -1, -1):
         n = live[t + 1]
-        after = e[:n, t + 1] * beta[:n, t + 1]
-        x = after @ a.T
-        z = (alpha[:n, t] * x).sum(axis=1, keepdims=True)
-        pair += ((alpha[:n, t] / z).T @ after) * a
-        beta[:n, t] = x / x.sum(axis=1, keepdims=True)
-    both = alpha * beta
-    return both / np.maximum(both.sum(axis=2, keepdims=True), 1e-30), pair
-
-
-def best_path(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The most likely labels (sequences, words)."""
-    live = _steps(lengths)
-    path = np.zeros(scores.shape[:2], np.int8)
-    if not len(live):
-        return path
-    back = np.zeros(scores.shape, np.int8)
-    best = scores[:, 0] + start
-    for t in range(1, len(live)):
-        n = live[t]
-        step = best[:n, :, None] + trans[None]
-        back[:n, t] = step.argmax(axis=1)
-        best[:n] = step.max(axis=1) + scores[:n, t]
-    last = best.argmax(axis=1).astype(np.int8)
-    for t in range(len(live) - 1, -1, -1):
-        n = live[t]
-        path[:n, t] = last[:n]
-        if t:
-            last[:n] = np.take_along_axis(back[:n, t], last[:n, None].astype(np.int64), 1)[:, 0]
-    return path
+        after = e[t + 1, :n] * beta[:n]
+        x = after @ back
+        if pairs:
+            z = (alpha[t, :n] * x).sum(axis=1, keepdims=True)
+            pair += ((alpha[t, :n] / z).T @ after) * a
+        if t % RESCALE == 0:
+            x /= x.sum(axis=1, keepdims=True)
+        beta[:n] = x
+        alpha[t, :n] *= x
+    return alpha / np.maximum(alpha.sum(axis=2, keepdims=True), 1e-300), pair
 
 
 class Model:
@@ -134,7 +123,7 @@ class Model:
         return scores
 
     def label(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """The best label of each word and its probability."""
+        """The most likely label of each word and its probability."""
         bounds = w.bounds()
         lengths = np.diff(bounds)
         labels, sure = np.zeros(len(w.hash), np.int8), np.zeros(len(w.hash), np.float32)
@@ -147,13 +136,12 @@ class Model:
             take = max(1, min(len(order), 4_000_000 // (int(longest) * len(LANGUAGES)), int((lengths[order] > longest // 2).sum())))
             own, order = order[:take], order[take:]
             size = lengths[own]
-            inside = np.arange(longest)[None, :] < size[:, None]
-            at = np.minimum(bounds[own][:, None] + np.arange(longest)[None, :], len(w.hash) - 1)
-            padded = np.where(inside[:, :, None], scores[at], 0)
-            path = best_path(padded, size, self.trans, self.start)
-            marginal, _ = forward_backward(padded, size, self.trans, self.start)
-            labels[at[inside]] = path[inside]
-            sure[at[inside]] = np.take_along_axis(marginal, path[:, :, None].astype(np.int64), 2)[:, :, 0][inside]
+            inside = np.arange(longest)[:, None] < size[None, :]
+            at = np.minimum(bounds[own][None, :] + np.arange(longest)[:, None], len(w.hash) - 1)
+            marginal, _ = forward_backward(scores[at], size, self.trans, self.start)
+            marginal, at = marginal[inside], at[inside]
+            labels[at] = best = marginal.argmax(axis=1)
+            sure[at] = marginal[np.arange(len(best)), best]
         return labels, sure
 
 
@@ -175,8 +163,8 @@ def fit(w: Words, labels: np.ndarray, known: np.ndarray, rounds: int, trans: np.
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
     longest = lengths[order[0]] if len(order) else 0
-    inside = np.arange(longest)[None, :] < lengths[order][:, None]
-    index = np.minimum(bounds[order][:, None] + np.arange(longest)[None, :], len(w.hash) - 1)
+    inside = np.arange(longest)[:, None] < lengths[order][None, :]
+    index = np.minimum(bounds[order][None, :] + np.arange(longest)[:, None], len(w.hash) - 1)
     hot = np.zeros((len(w.hash), n), np.float32)
     hot[np.arange(len(w.hash)), labels] = 1
     same_row = w.row[1:] == w.row[:-1]
@@ -186,7 +174,7 @@ def fit(w: Words, labels: np.ndarray, known: np.ndarray, rounds: int, trans: np.
     for step in range(1, rounds + 1):
         kind_scores = np.stack([np.bincount(owner, weights[flat, k], len(kinds)) for k in range(n)], axis=1).astype(np.float32)
         scores = kind_scores[back]
-        marginal, pair = forward_backward(np.where(inside[:, :, None], scores[index], 0), lengths[order], trans, start)
+        marginal, pair = forward_backward(scores[index], lengths[order], trans, start, learn_trans)
         p = np.zeros_like(hot)
         p[index[inside]] = marginal[inside]
         d = (hot - p) * known[:, None]
