@@ -93,10 +93,16 @@ def _decoded(stretch: str, back: dict[str, int]) -> str | None:
         return None
 
 
+_RUN = re.compile(r"[^\x00-\x7f]{2,}")
+
+
 def _layer(text: str) -> str | None:
     """The text with one layer taken off where that lowers the cost, by the encoding that lowers it most."""
     best, most = None, 0.0
+    runs = " ".join(set(_RUN.findall(text)))
     for encoding in LEGACY:
+        if not _pattern(encoding).search(runs):
+            continue
         back, gain, out, at = _table(encoding)[1], 0.0, [], 0
         for m in _pattern(encoding).finditer(text):
             if encoding == "cp1256" and "\xa0" in m.group():
