@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from foliospark.llm.words import mix, words
 
 #: Labelled documents that the classifiers are fitted on, at most; they are chosen by the hash of their key.
-TRAIN_DOCS = 3000
-BUCKETS = 1 << 18
+TRAIN_DOCS = 1500
+BUCKETS = 1 << 17
 #: The share of the paragraphs from which on an area counts, and the beam of the search.
 SHARE, BEAM = 0.25, 16
 SOURCES = 32
