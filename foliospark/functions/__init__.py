@@ -1 +1 @@
-""""""
+"""Scalar functions: regular-expression helpers, text cleaning, Arrow variants, SQL registration."""

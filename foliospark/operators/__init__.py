@@ -1 +1 @@
-""""""
+"""Relational operators: predicates, noise learning, chunking, embedding, retrieval, jobs."""

@@ -1 +1 @@
-""""""
+"""Continuous ingestion on Structured Streaming."""
