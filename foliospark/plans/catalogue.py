@@ -137,7 +137,8 @@ def _sentences(split: Callable) -> Query:
 def long_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of 64 tokens with 8 shared, of every chunk's content."""
     chunks = load(spark, folder, "chunks").select("id", "content").distinct().filter(~is_blank(F.col("content")))
-    windows = chunks.select("id", F.posexplode(chunking.long_windows(tokens_of(F.col("content")), SMALL.limit, SMALL.overlap)).alias("pos", "w"))
+    cut = chunks.select("id", tokens_of(F.col("content")).alias("t"))
+    windows = cut.select("id", F.posexplode(chunking.long_windows(F.col("t"), SMALL.limit, SMALL.overlap)).alias("pos", "w"))
     return windows.select("id", F.col("pos").cast("bigint").alias("pos"), F.array_join("w", " ").alias("content"), F.size("w").cast("bigint").alias("tokens"))
 
 

@@ -34,9 +34,15 @@ def numbers(e: str) -> str:
     return rep(rep(rep(e, C.NUMBER_DOT, r"\1.\2"), C.NUMBER_DASH, r"\1-\2"), C.NUMBER_PERCENT, r"\1%")
 
 
+#: Put around letters that the pattern's word boundary takes for none, and taken out again.
+MARK = "qZq"
+
+
 def letters(e: str) -> str:
     p = _q(rf"\b(?:[A-Za-z]{SPACE}){{2,}}[A-Za-z]\b")
-    return f"CASE WHEN {e} IS NULL THEN NULL ELSE array_to_string(list_transform(list_zip(regexp_split_to_array({e}, {p}), list_transform(regexp_extract_all({e}, {p}), lambda m: replace(m, ' ', ''))), lambda z: z[1] || coalesce(z[2], '')), '') END"
+    marked = rep(e, r"([^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}])", rf"{MARK}\1{MARK}")
+    joined = f"array_to_string(list_transform(list_zip(regexp_split_to_array({marked}, {p}), list_transform(regexp_extract_all({marked}, {p}), lambda m: replace(m, ' ', ''))), lambda z: z[1] || coalesce(z[2], '')), '')"
+    return f"CASE WHEN {e} IS NULL THEN NULL ELSE replace({joined}, '{MARK}', '') END"
 
 
 def confusions(e: str) -> str:
