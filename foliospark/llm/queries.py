@@ -90,6 +90,23 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL of the queries whose definition SQL can express on whole tables."""
+    word, letter = r"[\p{L}\p{N}]+", r"\P{L}+"
+    words = f"regexp_extract_all(lower(%s), '{word}')"
+    lines = f"""WITH cut AS (SELECT page_id, file_hash, lower(string_split(filename, '_')[1]) AS site, string_split(text, chr(10)) AS l FROM pages WHERE filename IS NOT NULL AND file_hash IS NOT NULL),
+line AS (SELECT page_id, file_hash, site, n AS line_no, l[n] AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS n FROM cut)),
+keyed AS (SELECT *, lower(upper(regexp_replace(line, '{letter}', '', 'g'))) AS k FROM line WHERE length(line) <= {boilerplate.LONGEST}),
+files AS (SELECT site, count(DISTINCT file_hash) AS all_files FROM cut GROUP BY site),
+nodes AS (SELECT site, k FROM keyed JOIN files USING (site) WHERE length(k) >= {boilerplate.LEAST_LETTERS} GROUP BY site, k, all_files HAVING count(DISTINCT file_hash) >= {boilerplate.LEAST_FILES} AND count(DISTINCT file_hash) >= {boilerplate.LEAST_SHARE} * all_files)"""
+
+    def grams(key: str, table: str) -> str:
+        return f"SELECT {key}, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {key}, {words % 'text'} AS w FROM {table}))"
+
+    shingles = f"""WITH c AS (SELECT DISTINCT id, {words % "content"} AS w FROM (SELECT DISTINCT id, content FROM chunks)), s AS (SELECT DISTINCT id, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM c WHERE len(w) >= 40)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id), both_in AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id)"""
     return {
+        "p2_found": f"{lines} SELECT page_id, line_no FROM keyed JOIN nodes USING (site, k)",
+        "p5_found": f"{shingles} SELECT id_a, id_b FROM both_in JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k >= 0.6 * (x.n + y.n - k)",
         "p7_found": "SELECT DISTINCT id FROM chunks WHERE length(content) > 1200",
+        "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({grams('doc_id', 'documents')}) JOIN ({grams('item_id', 'eval_items')}) USING (g)",
     }
