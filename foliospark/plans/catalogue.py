@@ -15,7 +15,7 @@ from foliospark.operators import chunking, embedding, jobs, noise, predicates, r
 from foliospark.plans import ingest, search
 from foliospark.session import shared_dir
 from foliospark.sources.index import Index
-from foliospark.tables import load
+from foliospark.tables import load, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,9 +30,19 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "pages")
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of pages that long text work needs, over all cores."""
+    return spread(_pages(spark, folder).select("page_id", "file_hash", "filename", "page_number", "text", "source_type"))
+
+
+def _contents(spark: SparkSession, folder: str) -> DataFrame:
+    """id and content of the distinct chunks."""
+    return load(spark, folder, "chunks").select("id", "content").distinct()
+
+
 def _text_query(step: Callable) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return _pages(spark, folder).select("page_id", step(F.col("text")).alias("text"))
+        return _texts(spark, folder).select("page_id", step(F.col("text")).alias("text"))
 
     return run
 
@@ -61,26 +71,26 @@ NFKC_STEPS: dict[str, Callable] = {"t_nfkc": cleaning.nfkc, "t_encoding": cleani
 
 def clean_dispatch(spark: SparkSession, folder: str) -> DataFrame:
     """The chain of each page's source type, without the encoding step."""
-    return _pages(spark, folder).select("page_id", cleaning.preprocess_page(F.col("text"), F.col("source_type"), encoding=lambda t: t).alias("text"))
+    return _texts(spark, folder).select("page_id", cleaning.preprocess_page(F.col("text"), F.col("source_type"), encoding=lambda t: t).alias("text"))
 
 
 def clean_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The full chain by built-in expressions and NFKC."""
-    return _pages(spark, folder).select("page_id", cleaning.preprocess_page(F.col("text"), F.col("source_type")).alias("text"))
+    return _texts(spark, folder).select("page_id", cleaning.preprocess_page(F.col("text"), F.col("source_type")).alias("text"))
 
 
 def clean_pages_bulk(spark: SparkSession, folder: str) -> DataFrame:
     """The full chain in one Arrow function."""
-    return _pages(spark, folder).select("page_id", bulk.preprocess_page_bulk(F.col("text"), F.col("source_type")).alias("text"))
+    return _texts(spark, folder).select("page_id", bulk.preprocess_page_bulk(F.col("text"), F.col("source_type")).alias("text"))
 
 
 def noise_fit(spark: SparkSession, folder: str) -> DataFrame:
-    learned = noise.AdaptiveNoise(threshold=NOISE_THRESHOLD).fit(_pages(spark, folder)).noise
+    learned = noise.AdaptiveNoise(threshold=NOISE_THRESHOLD).fit(_texts(spark, folder)).noise
     return learned.select("line", "df", F.round("frac", 9).alias("frac"))
 
 
 def noise_remove(spark: SparkSession, folder: str) -> DataFrame:
-    pages = _pages(spark, folder).select("page_id", "text")
+    pages = _texts(spark, folder).select("page_id", "text")
     return noise.AdaptiveNoise(threshold=NOISE_THRESHOLD).fit(pages).remove(pages, "page_id")
 
 
@@ -92,7 +102,7 @@ def route_scanned(spark: SparkSession, folder: str) -> DataFrame:
 def english_ocr_valid(spark: SparkSession, folder: str) -> DataFrame:
     """Against the words of the evaluation texts as a dictionary."""
     words = load(spark, folder, "eval_items").select(F.explode(predicates.english_words(F.col("text"))).alias("word"))
-    return predicates.with_valid_english(_pages(spark, folder), words)
+    return predicates.with_valid_english(_texts(spark, folder).select("page_id", "text"), words)
 
 
 def blank_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,26 +134,26 @@ def metadata_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def language_detect(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder).select("page_id", chunking.detect_language(F.col("text")).alias("lang"))
+    return _texts(spark, folder).select("page_id", chunking.detect_language(F.col("text")).alias("lang"))
 
 
 def _sentences(split: Callable) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return _pages(spark, folder).select("page_id", F.posexplode(split(F.col("text"))).alias("pos", "sentence")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
+        return _texts(spark, folder).select("page_id", F.posexplode(split(F.col("text"))).alias("pos", "sentence")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
     return run
 
 
 def long_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of 64 tokens with 8 shared, of every chunk's content."""
-    chunks = load(spark, folder, "chunks").select("id", "content").distinct().filter(~is_blank(F.col("content")))
+    chunks = _contents(spark, folder).filter(~is_blank(F.col("content")))
     cut = chunks.select("id", tokens_of(F.col("content")).alias("t"))
     windows = cut.select("id", F.posexplode(chunking.long_windows(F.col("t"), SMALL.limit, SMALL.overlap)).alias("pos", "w"))
     return windows.select("id", F.col("pos").cast("bigint").alias("pos"), F.array_join("w", " ").alias("content"), F.size("w").cast("bigint").alias("tokens"))
 
 
 def _cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder).select("file_hash", "filename", "page_number", "text")
+    return _texts(spark, folder).select("file_hash", "filename", "page_number", "text")
 
 
 def chunk_pack(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,24 +168,24 @@ def chunk_pack_native(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Numbering alone: every sentence as a chunk."""
-    s = _pages(spark, folder).select("page_id", "filename", "page_number", F.posexplode(chunking.split_english_sentences(F.col("text"))).alias("pos", "s"))
+    s = _texts(spark, folder).select("page_id", "filename", "page_number", F.posexplode(chunking.split_english_sentences(F.col("text"))).alias("pos", "s"))
     number = F.col("page_number") + F.col("pos")
     return s.select("page_id", F.concat_ws("_", "filename", F.col("page_number").cast("string"), number.cast("string")).alias("id"), number.cast("bigint").alias("chunk_id"))
 
 
 def chunk_min_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks whose tokens and two special ones are 75 at least."""
-    chunks = load(spark, folder, "chunks").select("id", "content").distinct()
+    chunks = _contents(spark, folder)
     return chunks.filter(F.size(tokens_of(F.col("content"))) + 2 >= 75).select("id")
 
 
 def truncate_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = load(spark, folder, "chunks").select("id", "content").distinct().filter(F.col("content").isNotNull())
+    chunks = _contents(spark, folder).filter(F.col("content").isNotNull())
     return chunks.select("id", F.array_join(chunking.truncate(tokens_of(F.col("content")), 16), " ").alias("head"))
 
 
 def embed_prefix(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "chunks").select("id", "content").distinct().select("id", embedding.add_prefix(F.col("content")).alias("passage"), embedding.add_prefix(F.col("content"), True).alias("query"))
+    return _contents(spark, folder).select("id", embedding.add_prefix(F.col("content")).alias("passage"), embedding.add_prefix(F.col("content"), True).alias("query"))
 
 
 def l2_normalize(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,7 +197,7 @@ def l2_normalize(spark: SparkSession, folder: str) -> DataFrame:
 
 def embed_hash(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of all contents by the stand-in embedder."""
-    return embedding.embed_documents(load(spark, folder, "chunks").select("id", "content").distinct(), embedding.HashingEmbedder(64)).select("id", "embedding")
+    return embedding.embed_documents(_contents(spark, folder), embedding.HashingEmbedder(64)).select("id", "embedding")
 
 
 def zero_fill(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,7 +221,7 @@ def knn_multi_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "vector_index")
+    return spread(load(spark, folder, "vector_index"))
 
 
 def _query_vector(docs: DataFrame) -> list[float]:
@@ -221,7 +231,7 @@ def _query_vector(docs: DataFrame) -> list[float]:
 
 def postings(spark: SparkSession, folder: str) -> DataFrame:
     """Of each word of the chunks: in how many it stands, and how often."""
-    p = retrieval.postings(load(spark, folder, "chunks").select("id", "content").distinct())
+    p = retrieval.postings(_contents(spark, folder))
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -313,13 +323,13 @@ def ingest_rows(spark: SparkSession, folder: str) -> DataFrame:
     """All pages cleaned, chunked, embedded and joined with their file's metadata."""
     files = load(spark, folder, "file_meta")
     small = Config(dimension=64, safe_limit=SMALL.limit, overlap=SMALL.overlap, minimum=SMALL.minimum)
-    rows = ingest.ingest_pages(_pages(spark, folder), files, embedding.HashingEmbedder(64), small)
+    rows = ingest.ingest_pages(_texts(spark, folder), files, embedding.HashingEmbedder(64), small)
     return rows.select("id", "document_id", "page_number", "chunk_id", "content")
 
 
 def term_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each chunk as the lexical leg counts them."""
-    return load(spark, folder, "chunks").select("id", "content").distinct().select("id", F.coalesce(F.size(terms_of(F.col("content"))), F.lit(0)).cast("bigint").alias("dl"))
+    return _contents(spark, folder).select("id", F.coalesce(F.size(terms_of(F.col("content"))), F.lit(0)).cast("bigint").alias("dl"))
 
 
 def queries() -> dict[str, Query]:
