@@ -77,11 +77,18 @@ def cost(c: str) -> float:
         return 1.2
     if 0x100 <= o < 0x180:
         return 2.0
+    if o >= 0x1F000:
+        return 2.0
     if 0x370 <= o < 0x530 or 0x2500 <= o < 0x2600 or 0x2200 <= o < 0x2300:
         return 3.0
     return 4.0
 
 
+def strange(c: str) -> bool:
+    """Whether a character is taken neither for what was written nor for a layer in between."""
+    return cost(c) >= 4 and not 0x80 <= ord(c) < 0xA0
+
+
 def total(text: str) -> float:
     return sum(map(cost, text))
 
@@ -108,7 +115,7 @@ def _layer(text: str) -> str | None:
             if encoding == "cp1256" and "\xa0" in m.group():
                 continue  # an Arabic letter before a no-break space is natural
             new = _decoded(m.group(), back)
-            if new is not None and (drop := total(m.group()) - total(new)) > 0:
+            if new is not None and not any(map(strange, new)) and (drop := total(m.group()) - total(new)) > 0:
                 gain += drop
                 out += [text[at : m.start()], new]
                 at = m.end()
@@ -124,6 +131,8 @@ _ODD = re.compile(
 )
 _WALL = re.compile(r"[À-ÿ]{4,}")
 _HIGH = re.compile(r"[^\x00-\x7f]")
+#: Whole words in another script, which misread Latin text has not.
+_OTHER_SCRIPT = re.compile(r"[Ѐ-ӿ]{4,}|[Ͱ-Ͽ]{4,}")
 
 
 def _oddness(text: str) -> float:
@@ -132,7 +141,7 @@ def _oddness(text: str) -> float:
 
 def _swap(text: str) -> str | None:
     """The text with lines of single-byte characters read under the right encoding, where they are odd and the cost drops."""
-    if not (_ODD.search(text) or _WALL.search(text)):
+    if not (_ODD.search(text) or _WALL.search(text)) or _OTHER_SCRIPT.search(text):
         return None
     lines, scores = text.split("\n"), {}
     odd = [i for i, line in enumerate(lines) if _ODD.search(line) or _WALL.search(line)]

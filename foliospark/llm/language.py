@@ -279,6 +279,8 @@ def stretches(pages: DataFrame, labels: DataFrame, per_language: int = PER_LANGU
 
 
 def page_languages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """page_id, lang, confidence: the language of the longest stretch of each page."""
-    best = stretches(pages, labels).groupBy("page_id").agg(F.max_by(F.struct("lang", "confidence"), F.struct(F.col("end") - F.col("begin"), -F.col("seg_no"))).alias("b"))
+    """page_id, lang, confidence: the language that most of a page is in, by characters; ties go to the one that comes first."""
+    size = F.col("end") - F.col("begin")
+    each = stretches(pages, labels).groupBy("page_id", "lang").agg(F.sum(size).alias("size"), F.min("seg_no").alias("first"), (F.sum(F.col("confidence") * size) / F.sum(size)).alias("confidence"))
+    best = each.groupBy("page_id").agg(F.max_by(F.struct("lang", "confidence"), F.struct("size", -F.col("first"))).alias("b"))
     return best.select("page_id", "b.lang", "b.confidence")

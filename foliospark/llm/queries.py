@@ -7,33 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import boilerplate, encoding_repair, language, leaks, near_duplicates, neighbours, scans, splitting, subjects, token_ids
-from foliospark.tables import load
+from foliospark.tables import load, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _rows(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table of texts; one that is stored in few pieces is spread over all cores first."""
+    return spread(load(spark, folder, table))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return encoding_repair.repaired(load(spark, folder, "pages")).select("page_id").distinct()
+    return encoding_repair.repaired(_rows(spark, folder, "pages")).select("page_id").distinct()
 
 
 def p1_text(spark: SparkSession, folder: str) -> DataFrame:
-    return encoding_repair.repair_all(load(spark, folder, "pages"))
+    return encoding_repair.repair_all(_rows(spark, folder, "pages"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return boilerplate.found_lines(load(spark, folder, "pages"))
+    return boilerplate.found_lines(_rows(spark, folder, "pages"))
 
 
 def p2_text(spark: SparkSession, folder: str) -> DataFrame:
-    return boilerplate.strip_lines(load(spark, folder, "pages"))
+    return boilerplate.strip_lines(_rows(spark, folder, "pages"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.found(load(spark, folder, "pages"), load(spark, folder, "file_meta"))
+    return scans.found(_rows(spark, folder, "pages"), load(spark, folder, "file_meta"))
 
 
 def p3_text(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.repaired(load(spark, folder, "pages"), load(spark, folder, "file_meta")).select("page_id", "text")
+    return scans.repaired(_rows(spark, folder, "pages"), load(spark, folder, "file_meta")).select("page_id", "text")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,39 +46,43 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.near_duplicate_pairs(load(spark, folder, "chunks"))
+    return near_duplicates.near_duplicate_pairs(_rows(spark, folder, "chunks"))
 
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.near_duplicate_groups(load(spark, folder, "chunks"))
+    return near_duplicates.near_duplicate_groups(_rows(spark, folder, "chunks"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return language.stretches(load(spark, folder, "pages"), load(spark, folder, "page_labels")).select("page_id", "seg_no", "lang")
+    return language.stretches(_rows(spark, folder, "pages"), load(spark, folder, "page_labels")).select("page_id", "seg_no", "lang")
 
 
 def p6_stretches(spark: SparkSession, folder: str) -> DataFrame:
-    return language.stretches(load(spark, folder, "pages"), load(spark, folder, "page_labels"))
+    return language.stretches(_rows(spark, folder, "pages"), load(spark, folder, "page_labels"))
+
+
+def p6_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return language.page_languages(_rows(spark, folder, "pages"), load(spark, folder, "page_labels"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return splitting.oversized(load(spark, folder, "chunks"))
+    return splitting.oversized(_rows(spark, folder, "chunks"))
 
 
 def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return splitting.split_oversized(load(spark, folder, "chunks"))
+    return splitting.split_oversized(_rows(spark, folder, "chunks"))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return token_ids.encode_corpus(load(spark, folder, "documents"))
+    return token_ids.encode_corpus(_rows(spark, folder, "documents"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaks(load(spark, folder, "documents"), load(spark, folder, "eval_items")).select("doc_id", "item_id")
+    return leaks.leaks(_rows(spark, folder, "documents"), load(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
 def _areas(spark: SparkSession, folder: str) -> DataFrame:
-    return subjects.subject_areas(load(spark, folder, "documents"), load(spark, folder, "doc_labels"), load(spark, folder, "subject_areas"))
+    return subjects.subject_areas(_rows(spark, folder, "documents"), load(spark, folder, "doc_labels"), load(spark, folder, "subject_areas"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,7 +94,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (p1_found, p1_text, p2_found, p2_text, p3_found, p3_text, p4_found, p5_found, p5_groups, p6_found, p6_stretches, p7_found, p7_pieces, p8_ids, p9_found, p10_found, p10_composition)
+    named = (p1_found, p1_text, p2_found, p2_text, p3_found, p3_text, p4_found, p5_found, p5_groups, p6_found, p6_stretches, p6_pages, p7_found, p7_pieces, p8_ids, p9_found, p10_found, p10_composition)
     return {f.__name__: f for f in named}
 
 

@@ -237,11 +237,14 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, mos
     """
     spark = documents.sparkSession
     names = sorted(r["area"] for r in areas.select(area_name(F.col("area")).alias("area")).filter(F.col("area").isNotNull()).distinct().limit(1000).collect())
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    nothing = spark.createDataFrame([], f"doc_id {kind}, area string, share double, confidence double")
+    if not names:
+        return nothing
     drawn = labelled(documents, labels, names, most).toArrow().sort_by("doc_id")  # bounded by most
     target = np.array([[a in own for a in names] for own in drawn.column("areas").to_pylist()], bool).reshape(-1, len(names))
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    if not len(target) or not names:
-        return spark.createDataFrame([], f"doc_id {kind}, area string, share double, confidence double")
+    if not len(target):
+        return nothing
     sent = spark.sparkContext.broadcast(train(drawn.column("text").combine_chunks(), drawn.column("source").to_pylist(), target))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
