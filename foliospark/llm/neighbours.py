@@ -136,28 +136,29 @@ def neighbours(df: DataFrame, key: str = "id", vector: str = "embedding", dim: i
                         if c == home[i] or margin * margin / gap < 2 - 2 * floor + 1e-5:
                             want += [j for j in range(int(begin[c]), int(begin[c] + counts[c])) if j != mine]
                 search.append(want)
-        return pa.table({"id": ids, "v": _vectors(x), "block": t.column("block"), "near": pa.array(near_id, pa.list_(pa.string())), "sims": pa.array(near_sim, pa.list_(pa.float32())), "search": pa.array(search, pa.list_(pa.int32()))})
+        number = pa.array((mine << 32) + np.arange(len(x)), pa.int64())
+        return pa.table({"n": number, "id": ids, "v": _vectors(x), "block": t.column("block"), "near": pa.array(near_id, pa.list_(pa.string())), "sims": pa.array(near_sim, pa.list_(pa.float32())), "search": pa.array(search, pa.list_(pa.int32()))})
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q, scale, error = quantise(_matrix(b.column("v"), dim))
             sims = b.column("sims").to_pylist()
             floor = np.array([min(s) if len(s) >= k else -1.0 for s in sims], np.float32)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(scale), pa.array(error), pa.array(floor), b.column("search")], ["id", "q", "scale", "error", "floor", "search"])
+            yield pa.RecordBatch.from_arrays([b.column("n"), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(scale), pa.array(error), pa.array(floor), b.column("search")], ["n", "q", "scale", "error", "floor", "search"])
 
-    home = materialise(placed.groupBy("block").applyInArrow(own, "id string, v array<float>, block int, near array<string>, sims array<float>, search array<int>"), "home")
-    asked = home.filter(F.size("search") > 0).select("id", "v", "sims", "search").mapInArrow(packed, "id string, q binary, scale float, error float, floor float, search array<int>").select(F.explode("search").alias("block"), "id", "q", "scale", "error", "floor")
+    home = materialise(placed.groupBy("block").applyInArrow(own, "n bigint, id string, v array<float>, block int, near array<string>, sims array<float>, search array<int>"), "home")
+    asked = home.filter(F.size("search") > 0).select("n", "v", "sims", "search").mapInArrow(packed, "n bigint, q binary, scale float, error float, floor float, search array<int>").select(F.explode("search").alias("block"), "n", "q", "scale", "error", "floor")
 
     def tile(data: pa.Table, queries: pa.Table) -> pa.Table:
         """Pairs of a query and a row of the block that may belong to the k best, by the error bounds of the int8 product."""
-        out_id, out_row = [], []
+        out_n, out_row = [], []
         if data.num_rows and queries.num_rows:
             x = _matrix(data.column("v"), dim)
             dq, ds, de = quantise(x)
             dq = dq.astype(np.float32)
             q = np.frombuffer(b"".join(queries.column("q").to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
             qs, qe, floor = (queries.column(c).to_numpy() for c in ("scale", "error", "floor"))
-            ids = np.asarray(queries.column("id").to_pylist(), object)
+            asking = queries.column("n").to_numpy()
             for at in range(0, len(q), 1024):
                 s = slice(at, at + 1024)
                 sims = (q[s] @ dq.T) * qs[s, None] * ds[None, :]  # the integer products are exact in float
@@ -167,13 +168,13 @@ def neighbours(df: DataFrame, key: str = "id", vector: str = "embedding", dim: i
                     low = sims - slack
                     bar = np.maximum(bar, np.partition(low, len(x) - k, axis=1)[:, len(x) - k])
                 hit_q, hit_d = np.nonzero(sims + slack >= bar[:, None])
-                out_id.append(ids[s][hit_q]), out_row.append(hit_d)
+                out_n.append(asking[s][hit_q]), out_row.append(hit_d)
         rows = np.concatenate(out_row) if out_row else np.zeros(0, np.int64)
-        names = np.concatenate(out_id).tolist() if out_id else []
-        return pa.table({"id": pa.array(names, pa.string()), "other": data.column("id").take(pa.array(rows)), "w": data.column("v").take(pa.array(rows))})
+        numbers = np.concatenate(out_n) if out_n else np.zeros(0, np.int64)
+        return pa.table({"n": pa.array(numbers), "other": data.column("id").take(pa.array(rows)), "w": data.column("v").take(pa.array(rows))})
 
-    survivors = home.select("block", "id", "v").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(tile, "id string, other string, w array<float>")
-    extra = survivors.groupBy("id").agg(F.collect_list(F.struct("other", "w")).alias("extra"))
+    survivors = home.select("block", "id", "v").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(tile, "n bigint, other string, w array<float>")
+    extra = survivors.groupBy("n").agg(F.collect_list(F.struct("other", "w")).alias("extra"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("id", pa.string()), ("similarity", pa.float32())]))
@@ -190,7 +191,7 @@ def neighbours(df: DataFrame, key: str = "id", vector: str = "embedding", dim: i
                 out.append([{"id": n, "similarity": -s} for s, n in heapq.nsmallest(k, heap)])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, kind)], ["id", "neighbours"])
 
-    joined = home.select("id", "v", "near", "sims").join(extra, "id", "left")
+    joined = home.select("n", "id", "v", "near", "sims").join(extra, "n", "left")
     return joined.mapInArrow(merge, "id string, neighbours array<struct<id: string, similarity: float>>").withColumnRenamed("id", key)
 
 
