@@ -110,12 +110,15 @@ _ENTRY = np.dtype([("h", "<u4"), ("low", "<u4"), ("high", "<u2")])
 
 
 def _index_blocks(parts: int):
-    """Rows of a block number and packed entries (the rest of a band's hash, the class) for it: the index travels in blocks."""
+    """Rows of a block number and packed entries (the rest of a band's hash, the class) for it: the index travels in blocks.
+
+    A class counts once per batch, so a huge group of copies brings few entries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a = b.column("a").to_numpy().view(np.uint64)
-            raw = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.uint8).reshape(-1, 5)
+            a, first = np.unique(b.column("a").to_numpy().view(np.uint64), return_index=True)
+            raw = np.frombuffer(b"".join(b.column("bands").take(pa.array(first)).to_pylist()), np.uint8).reshape(-1, 5)
             hashed = np.zeros(len(raw), np.uint64)
             for k in range(5):
                 hashed |= raw[:, k].astype(np.uint64) << np.uint64(8 * k)

@@ -47,8 +47,8 @@ _TAIL = r"(?:\s{2,}|\s*\.{3,}\s*|\s*\|\s*|\s+[-–—]\s+)(?:\p{L}{1,2}-|(?i:pag
 def headers(pages: DataFrame, meta: DataFrame | None = None, least_letters: int = 8) -> DataFrame:
     """file_hash, headers (array of letter keys): the running headers of each file.
 
-    The title of the file counts, and so do short lines at the top or bottom of at least two pages that hold a number apart or make up a
-    tenth of the file's pages. Lines of one key are at most ten to a file by that share, so the arrays are bounded.
+    The title of the file counts, and so do short lines at the top or bottom of at least two pages that make up a tenth of the file's
+    pages, or a hundredth if they hold a number apart. A page has four such lines, so by these shares a file has at most 400 headers.
     """
     scanned = pages.filter(F.col("source_type").isin(*SCANNED) & F.col("text").isNotNull() & F.col("file_hash").isNotNull()).select("file_hash", "page_number", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
     lines = scanned.select("file_hash", "page_number", F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)) > 0).alias("lines")).filter(F.size("lines") > 1)
@@ -56,7 +56,7 @@ def headers(pages: DataFrame, meta: DataFrame | None = None, least_letters: int
     keyed = ends.filter((F.length("line") <= 90) & ~F.col("line").rlike(r"[.,;:!?۔،]\s*$")).select("file_hash", "page_number", _letters(F.col("line")).alias("key"), F.col("line").rlike(_TAIL).alias("numbered")).filter(F.length("key") >= least_letters)
     counted = keyed.groupBy("file_hash", "key").agg(F.count_distinct("page_number").alias("pages"), F.sum(F.col("numbered").cast("int")).alias("numbered"))
     sizes = scanned.groupBy("file_hash").agg(F.count_distinct("page_number").alias("all_pages"))
-    often = counted.join(sizes, "file_hash").filter((F.col("pages") >= 2) & ((F.col("pages") >= 0.1 * F.col("all_pages")) | (F.col("numbered") * 4 >= F.col("pages")))).select("file_hash", "key")
+    often = counted.join(sizes, "file_hash").filter((F.col("pages") >= 2) & ((F.col("pages") >= 0.1 * F.col("all_pages")) | ((F.col("pages") >= 0.01 * F.col("all_pages")) & (F.col("numbered") * 4 >= F.col("pages"))))).select("file_hash", "key")
     if meta is not None:
         titles = meta.filter(F.col("file_hash").isNotNull()).select("file_hash", _letters(F.col("title")).alias("key")).filter((F.length("key") >= least_letters) & F.col("title").rlike(r"\d|\s"))
         often = often.unionByName(titles)
