@@ -9,7 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from foliospark.functions.regex import is_blank
@@ -97,6 +97,13 @@ def embed_documents(df: DataFrame, embedder: Embedder, text: str = "content", pr
     return df.withColumn("embedding", embed_column(prefixed, embedder, normalize=normalize))
 
 
+def with_throughput(df: DataFrame, name: str = "embedded") -> tuple[DataFrame, Observation]:
+    """df and an observation of its rows and embedded rows, which has its counts once an action on df is done."""
+    seen = Observation(name)
+    full = F.exists("embedding", lambda x: x != 0)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(F.when(full, 1)).alias("embedded")), seen
+
+
 def embed_single(text: str, embedder: Embedder, is_query: bool = False, query: str = "query: ", passage: str = "passage: ", normalize: bool = True) -> list[float]:
     """The vector of one text on the driver; a blank text is an error. Queries get the passage prefix unless is_query is set."""
     x = embedder.encode([(query if is_query else passage) + require_text(text)])

@@ -140,6 +140,13 @@ def test_zero_fill_and_alignment(spark):
         embedding.embed_single(" ", embedding.HashingEmbedder(8))
 
 
+def test_throughput(spark):
+    df = embedding.embed_documents(spark.createDataFrame([("a",), (" ",), ("b",)], "content string"), embedding.HashingEmbedder(4))
+    watched, seen = embedding.with_throughput(df)
+    watched.collect()
+    assert seen.get == {"rows": 3, "embedded": 2}
+
+
 def test_l2(spark):
     assert one(spark, [3.0, 4.0], "x array<double>", embedding.l2_normalize) == [0.6, 0.8]
     assert one(spark, [0.0, 0.0], "x array<double>", embedding.l2_normalize) == [0.0, 0.0]
