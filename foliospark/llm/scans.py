@@ -173,8 +173,13 @@ def is_page_number(line: str, page: int | None) -> bool:
 _NUMBERED = re.compile(r"^(?:(?P<a>\d{1,6})\s{2,}\S.{6,90}|\S.{6,90}?(?:\s{2,}|\s*\.{4,}\s*)(?P<b>\d{1,6}))$")
 
 
+_ISSUE = re.compile(r"^\S.{6,90}?\s*\|\s*[^\W\d_]{2,12}-\d{1,4}$")
+
+
 def is_numbered_header(line: str, page: int | None) -> bool:
-    """A header with the number of its page set apart from it."""
+    """A header with the number of its page, or that of an issue after a bar, set apart from it."""
+    if _ISSUE.match(line):
+        return True
     m = _NUMBERED.match(line)
     return bool(m) and page is not None and int(m["a"] or m["b"]) == page
 

@@ -53,6 +53,13 @@ def test_context_chooses_between_candidates():
     assert reader.correct("c1ay", ["pot"]) == "clay" and reader.correct("c1ay", ["night"]) == "day"
 
 
+def test_numbered_headers():
+    for line, page in (("Some title 12  3", 3), ("3  Some title 12", 3), ("Some title ........ 3", 3), ("Some title 12 | Issue-8", 1)):
+        assert S.is_numbered_header(line, page), line
+    for line, page in (("Some title 12  3", 4), ("reported on 3 May 2012", 2012), ("a | b", 1)):
+        assert not S.is_numbered_header(line, page), line
+
+
 def test_page_numbers():
     for line, page in (("- 12 -", None), ("Page 3 of 9", None), ("3/9", None), ("12 | P a g e", None), ("[7]", None), ("p. 5", None), ("صفحہ 4", None), ("5", 5), ("iv", 4), ("xii", 12)):
         assert S.is_page_number(line, page), line
