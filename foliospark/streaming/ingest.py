@@ -6,6 +6,8 @@ made of the file's name and hash.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,11 @@ from foliospark.sources.pages import Ocr, no_ocr, with_hash
 BINARY = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
 
+def job_key(filename: str, file_hash: str) -> str:
+    """The id of the job of a file, as job_id makes it."""
+    return hashlib.sha256(f"{filename}/{file_hash}".encode()).hexdigest()[:32]
+
+
 def job_id(filename: str = "filename", file_hash: str = "file_hash"):
     return F.substring(F.sha2(F.concat_ws("/", filename, file_hash), 256), 1, 32)
 
@@ -41,13 +48,17 @@ def job_status(spark: SparkSession, path: str, job: str) -> dict:
     return J.status(jobs(spark, path), job)
 
 
-def ingest_stream(spark: SparkSession, index: Index, landing: str, jobs_path: str, checkpoint: str, embedder: Embedder | None = None, config: Config = Config(), ocr: Ocr = no_ocr, files_per_batch: int = 100) -> StreamingQuery:
-    """Starts the stream over what is there now and ends when that is done; start it again for what has landed since."""
+def ingest_stream(spark: SparkSession, index: Index, landing: str, jobs_path: str, checkpoint: str, embedder: Embedder | None = None, config: Config = Config(), ocr: Ocr = no_ocr, files_per_batch: int = 100, queued: bool = True) -> StreamingQuery:
+    """Starts the stream over what is there now and ends when that is done; start it again for what has landed since.
+
+    queued is whether the stream records files as queued itself; a submitting front end has done so already.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
         files = with_hash(df)
         names = files.select("filename", "file_hash")
-        record(names, "queued", jobs_path)
+        if queued:
+            record(names, "queued", jobs_path)
         record(names, "processing", jobs_path)
         _, outcome = ingest_files(spark, index, files, embedder, config, ocr)
         record(outcome, "", jobs_path)

@@ -3,6 +3,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark.api import Engine
 from foliospark.config import Config
 from foliospark.functions.register import register
 from foliospark.operators.embedding import HashingEmbedder
@@ -152,3 +153,19 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT folio_clean_page('a0b\nxx', 'ocr') AS r").first()["r"] == "aOb xx"
     rows = spark.sql("SELECT * FROM folio_chunks(array('a b c', 'd e'), 3, 1, 1)").collect()
     assert [r["content"] for r in rows] == ["a b c", "c d e"]
+
+
+def test_engine(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "root"), HashingEmbedder(16), Config(dimension=16))
+    assert engine.job_status("x") == {"error": "job not found"}
+    write(tmp_path / "in", "a.pdf", pdf([SENTENCES]))
+    write(tmp_path / "in", "bad.pdf", b"junk")
+    job, bad = engine.submit(str(tmp_path / "in" / "a.pdf")), engine.submit(str(tmp_path / "in" / "bad.pdf"))
+    assert engine.job_status(job) == {"status": "queued", "filename": "a.pdf"}
+    engine.run()
+    assert engine.job_status(job) == {"status": "success", "filename": "a.pdf"}
+    assert engine.job_status(bad) == {"status": "failed", "filename": "bad.pdf", "error": "no PDF header"}
+    response = engine.search("flood barrier", 2)
+    assert response["Succeeded"] and [d["document_name"] for d in response["response"].values()] == ["a.pdf"]
+    with pytest.raises(FileNotFoundError):
+        engine.submit(str(tmp_path / "absent.pdf"))
