@@ -98,20 +98,21 @@ def join_all(enc, parts: list[list[int]]) -> list[int]:
     return parts[0] if parts else []
 
 
-def encode(enc, text: str, leaf: int) -> list[int]:
+def encode(enc, text: str, leaf: int = 2048) -> list[int]:
     return join_all(enc, [enc.encode_ordinary(x) for x in leaves(text, leaf)])
 
 
-def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf_chars: int = 32768) -> DataFrame:
+def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, leaf_chars: int = 2048, spread_chars: int = 32768) -> DataFrame:
     """key and ids (array<int>) of every row, without special tokens; strings that look like special tokens are ordinary text.
 
     Null and empty texts give an empty list, blank texts their own tokens; keys may be null or repeated, each row keeps its own result
-    row; an empty table gives no rows; other columns are not read. Texts over leaf_chars are spread over the executors leaf by leaf.
+    row; an empty table gives no rows; other columns are not read. A text is encoded as a tree of leaves of leaf_chars at most; one over
+    spread_chars is first cut into pieces of that size, which are encoded all over the cluster.
     """
     ranks = df.sparkSession.sparkContext.broadcast(rank_file(vocabulary, folder))  # fixed size
     kind = df.schema[key].dataType
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    is_long = F.length("_text") > leaf_chars
+    is_long = F.length("_text") > spread_chars
 
     def lists(encoded: list) -> pa.Array:
         flat = np.concatenate([np.asarray(x, np.int32) for x in encoded]) if encoded else np.zeros(0, np.int32)
@@ -122,19 +123,19 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                out = [enc.encode_ordinary(t) if t else [] for t in part.column("_text").to_pylist()]
+                out = [encode(enc, t, leaf_chars) if t else [] for t in part.column("_text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("_key"), lists(out)], ["_key", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, row, t in zip(b.column("_key"), b.column("_row").to_pylist(), b.column("_text").to_pylist(), strict=True):
-                parts = leaves(t, leaf_chars)
+                parts = leaves(t, spread_chars)
                 yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(parts), b.schema.field("_key").type), pa.array([row] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts)], ["_key", "_row", "_no", "_text"])
 
     def leaf_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(ranks.value)
         for b in batches:
-            out = [enc.encode_ordinary(t) for t in b.column("_text").to_pylist()]
+            out = [encode(enc, t, leaf_chars) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_key", "_row", "_no")), lists(out)], ["_key", "_row", "_no", "ids"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ def test_operator(spark, reference):
     rng = random.Random(1)
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100, None), (101, "word " * 3000), (101, "word " * 3000), (None, "k"), (102, "".join(rng.choice("abcd") for _ in range(3000)))]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id bigint, text string, ids string, _no int")
-    got = [(r["doc_id"], r["ids"]) for r in T.encode_corpus(df, leaf_chars=200).collect()]
+    got = [(r["doc_id"], r["ids"]) for r in T.encode_corpus(df, leaf_chars=50, spread_chars=200).collect()]
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(got, key=key) == sorted([(i, reference(t) if t else []) for i, t in rows], key=key)
     assert T.encode_corpus(df.filter("false")).count() == 0
