@@ -45,20 +45,24 @@ _TAIL = r"(?:\s{2,}|\s*\.{3,}\s*|\s*\|\s*|\s+[-–—]\s+)(?:\p{L}{1,2}-|(?i:pag
 
 
 def headers(pages: DataFrame, meta: DataFrame | None = None, least_letters: int = 8) -> DataFrame:
-    """file_hash, headers (array of letter keys): the running headers of each file.
+    """file_hash, headers (array of letter keys): the running headers of each file that has scanned pages.
 
-    The title of the file counts, and so do short lines at the top or bottom of at least two pages that make up a tenth of the file's
-    pages, or a hundredth if they hold a number apart. A page has four such lines, so by these shares a file has at most 400 headers.
+    The title of the file counts, alone or with its author, and so do short lines at the top or bottom of at least two pages of the file,
+    scanned or not, that are as many as a tenth of its scanned pages, or a hundredth if they hold a number apart.
     """
-    scanned = pages.filter(F.col("source_type").isin(*SCANNED) & F.col("text").isNotNull() & F.col("file_hash").isNotNull()).select("file_hash", "page_number", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
-    lines = scanned.select("file_hash", "page_number", F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)) > 0).alias("lines")).filter(F.size("lines") > 1)
+    whole = pages.filter(F.col("text").isNotNull() & F.col("file_hash").isNotNull()).select("file_hash", "page_number", "source_type", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
+    lines = whole.select("file_hash", "page_number", F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)) > 0).alias("lines")).filter(F.size("lines") > 1)
     ends = lines.select("file_hash", "page_number", F.explode(F.array_distinct(F.concat(F.slice("lines", 1, 2), F.slice("lines", -2, 2)))).alias("line"))
     keyed = ends.filter((F.length("line") <= 90) & ~F.col("line").rlike(r"[.,;:!?۔،]\s*$")).select("file_hash", "page_number", _letters(F.col("line")).alias("key"), F.col("line").rlike(_TAIL).alias("numbered")).filter(F.length("key") >= least_letters)
     counted = keyed.groupBy("file_hash", "key").agg(F.count_distinct("page_number").alias("pages"), F.sum(F.col("numbered").cast("int")).alias("numbered"))
-    sizes = scanned.groupBy("file_hash").agg(F.count_distinct("page_number").alias("all_pages"))
-    often = counted.join(sizes, "file_hash").filter((F.col("pages") >= 2) & ((F.col("pages") >= 0.1 * F.col("all_pages")) | ((F.col("pages") >= 0.01 * F.col("all_pages")) & (F.col("numbered") * 4 >= F.col("pages"))))).select("file_hash", "key")
+    sizes = whole.filter(F.col("source_type").isin(*SCANNED)).groupBy("file_hash").agg(F.count_distinct("page_number").alias("scans"))
+    often = counted.join(sizes, "file_hash").filter((F.col("pages") >= 2) & ((F.col("pages") >= 0.1 * F.col("scans")) | ((F.col("pages") >= 0.01 * F.col("scans")) & (F.col("numbered") * 4 >= F.col("pages"))))).select("file_hash", "key")
     if meta is not None:
-        titles = meta.filter(F.col("file_hash").isNotNull()).select("file_hash", _letters(F.col("title")).alias("key")).filter((F.length("key") >= least_letters) & F.col("title").rlike(r"\d|\s"))
+        titled = meta.filter(F.col("file_hash").isNotNull() & F.col("title").rlike(r"\d|\s"))
+        forms = [F.col("title")]
+        if "author" in meta.columns:
+            forms += [F.concat("author", "title"), F.concat("title", "author")]
+        titles = titled.filter(F.length(_letters(F.col("title"))) >= least_letters).select("file_hash", F.explode(F.array(*map(_letters, forms))).alias("key")).filter(F.col("key").isNotNull())
         often = often.unionByName(titles)
     return often.groupBy("file_hash").agg(F.collect_set("key").alias("headers"))
 
@@ -173,6 +177,8 @@ def is_page_number(line: str, page: int | None) -> bool:
 _NUMBERED = re.compile(r"^(?:(?P<a>\d{1,6})\s{2,}\S.{6,90}|\S.{6,90}?(?:\s{2,}|\s*\.{4,}\s*)(?P<b>\d{1,6}))$")
 
 
+#: A header after the name of an author, who need not be the one in file_meta.
+_NAMED = re.compile(r"^(?:[A-ZÀ-ÖØ-Þ][\w'’.-]*\s+){1,3}[A-ZÀ-ÖØ-Þ][\w'’.-]*\s*:\s*(\S.+)$")
 _ISSUE = re.compile(r"^\S.{6,90}?\s*\|\s*[^\W\d_]{2,12}-\d{1,4}$")
 
 
@@ -280,7 +286,10 @@ class Reader:
         if key in headers:
             return True
         short = re.sub(r"(?:\s*\|\s*|\s+)[^\W\d_]{1,12}-?\.?\s*\d+\s*$|^\s*(?:p|pg|page)\.?\s*\d+\s+", "", line)
-        return short != line and letters(short) in headers
+        if short != line and letters(short) in headers:
+            return True
+        m = _NAMED.match(line)
+        return bool(m) and letters(m.group(1)) in headers
 
     def joined(self, m: re.Match, kinds: set[str]) -> str:
         left, right = m.group(1), m.group(2)

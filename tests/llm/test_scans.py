@@ -65,3 +65,20 @@ def test_page_numbers():
         assert S.is_page_number(line, page), line
     for line, page in (("5", 6), ("2017.", 4), ("iv", 5), ("12 March 2020", None), ("page of it", None), ("", 1)):
         assert not S.is_page_number(line, page), line
+
+
+def test_header_known_from_digital_pages(spark):
+    body = "\nthe committee approved the survey before the quarter.\nthe register was returned to the district.\n"
+    rows = [(i, "h", i, f"Doren Selik: Safety notice 101 for Velbury{body}the invoices of part {i}.", "digital") for i in range(1, 5)]
+    rows += [(5, "h", 5, f"Doren Selik: Safety notice 101 for Velbury{body}the end.", "ocr"), (6, None, 1, f"Doren Selik: Safety notice 101 for Velbury{body}the end.", "ocr")]
+    got = {r["page_id"]: set(r["kinds"]) for r in S.repaired(spark.createDataFrame(rows, "page_id bigint, file_hash string, page_number int, text string, source_type string")).collect()}
+    assert got == {5: {"furniture"}, 6: set()}
+
+
+def test_author_and_title(spark):
+    body = "\nthe committee approved the survey before the quarter.\nthe register was returned to the district."
+    lines = ["Doren Selik: Safety notice 101", "Safety notice 101 - Renke de Ulm", "renke de ulm, Safety notice 101", "Subject: Safety notice 101", "Doren Selik: the invoices of 101"]
+    rows = [(i, "h", i, x + body, "ocr") for i, x in enumerate(lines)]
+    meta = spark.createDataFrame([("h", "Safety notice 101", "Renke de Ulm")], "file_hash string, title string, author string")
+    got = [r["kinds"] for r in S.repaired(spark.createDataFrame(rows, "page_id bigint, file_hash string, page_number int, text string, source_type string"), meta).orderBy("page_id").collect()]
+    assert got == [["furniture"]] * 3 + [[]] * 2
