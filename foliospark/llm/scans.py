@@ -43,12 +43,16 @@ def letters(line: str) -> str:
 #: A page number beside a header. Fixed value.
 _TAIL = r"(?:\s{2,}|\s*\.{3,}\s*|\s*\|\s*|\s+[-–—]\s+)(?:\p{L}{1,2}-|(?i:page|pg|p)\.? ?)?\d{1,5}\s*$"
 
+#: What may stand beside a header, and a header after the name of an author, who need not be the one in file_meta. Fixed values.
+_BESIDE = r"(?:\s*\|\s*|\s+)[^\W\d_]{1,12}-?\.?\s*\d+\s*$|^\s*(?:p|pg|page)\.?\s*\d+\s+"
+_NAMED = r"^(?:[A-ZÀ-ÖØ-Þ][\w'’.-]*\s+){1,3}[A-ZÀ-ÖØ-Þ][\w'’.-]*\s*:\s*(\S.+)$"
+
 
 def headers(pages: DataFrame, meta: DataFrame | None = None, least_letters: int = 8) -> DataFrame:
-    """file_hash, headers (array of letter keys): the running headers of each file that has scanned pages.
+    """file_hash, key (letters): the running headers of each file that has scanned pages.
 
-    The title of the file counts, alone or with its author, and so do short lines at the top or bottom of at least two pages of the file,
-    scanned or not, that are as many as a tenth of its scanned pages, or a hundredth if they hold a number apart.
+    The title of the file counts, alone or with its author, and so do short lines at the top or bottom of at least LEAST pages of the
+    file, scanned or not; two pages are enough if the line holds a number apart or they are as many as a tenth of the scanned pages.
     """
     whole = pages.filter(F.col("text").isNotNull() & F.col("file_hash").isNotNull()).select("file_hash", "page_number", "source_type", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
     lines = whole.select("file_hash", "page_number", F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)) > 0).alias("lines")).filter(F.size("lines") > 1)
@@ -56,7 +60,7 @@ def headers(pages: DataFrame, meta: DataFrame | None = None, least_letters: int
     keyed = ends.filter((F.length("line") <= 90) & ~F.col("line").rlike(r"[.,;:!?۔،]\s*$")).select("file_hash", "page_number", _letters(F.col("line")).alias("key"), F.col("line").rlike(_TAIL).alias("numbered")).filter(F.length("key") >= least_letters)
     counted = keyed.groupBy("file_hash", "key").agg(F.count_distinct("page_number").alias("pages"), F.sum(F.col("numbered").cast("int")).alias("numbered"))
     sizes = whole.filter(F.col("source_type").isin(*SCANNED)).groupBy("file_hash").agg(F.count_distinct("page_number").alias("scans"))
-    often = counted.join(sizes, "file_hash").filter((F.col("pages") >= 2) & ((F.col("pages") >= 0.1 * F.col("scans")) | ((F.col("pages") >= 0.01 * F.col("scans")) & (F.col("numbered") * 4 >= F.col("pages"))))).select("file_hash", "key")
+    often = counted.join(sizes, "file_hash").filter((F.col("pages") >= LEAST) | ((F.col("pages") == 2) & ((F.col("numbered") > 0) | (F.col("pages") >= 0.1 * F.col("scans"))))).select("file_hash", "key")
     if meta is not None:
         titled = meta.filter(F.col("file_hash").isNotNull() & F.col("title").rlike(r"\d|\s"))
         forms = [F.col("title")]
@@ -64,7 +68,19 @@ def headers(pages: DataFrame, meta: DataFrame | None = None, least_letters: int
             forms += [F.concat("author", "title"), F.concat("title", "author")]
         titles = titled.filter(F.length(_letters(F.col("title"))) >= least_letters).select("file_hash", F.explode(F.array(*map(_letters, forms))).alias("key")).filter(F.col("key").isNotNull())
         often = often.unionByName(titles)
-    return often.groupBy("file_hash").agg(F.collect_set("key").alias("headers"))
+    return often.distinct()
+
+
+def page_headers(scanned: DataFrame, known: DataFrame) -> DataFrame:
+    """file_hash, page_id, headers (array of letter keys): the headers of the file that are among the lines of the page.
+
+    Lines meet headers in a join, so nothing grows with a file; rows that share file and page_id share one array.
+    """
+    there = scanned.filter(F.col("text").isNotNull() & F.col("file_hash").isNotNull())
+    bare = there.select("file_hash", "page_id", F.explode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1)).alias("line")).select("file_hash", "page_id", F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("line")).filter(F.length("line").between(1, 120))
+    forms = F.array_distinct(F.array("line", F.regexp_replace("line", f"(?U){_BESIDE}", ""), F.regexp_extract("line", f"(?U){_NAMED}", 1)))
+    keyed = bare.select("file_hash", "page_id", F.explode(forms).alias("line")).select("file_hash", "page_id", _letters(F.col("line")).alias("key")).filter(F.length("key") > 0)
+    return keyed.join(known, ["file_hash", "key"]).groupBy("file_hash", "page_id").agg(F.collect_set("key").alias("headers"))
 
 
 # -- vocabulary and vectors --------------------------------------------------------------------------------------------------------
@@ -177,8 +193,6 @@ def is_page_number(line: str, page: int | None) -> bool:
 _NUMBERED = re.compile(r"^(?:(?P<a>\d{1,6})\s{2,}\S.{6,90}|\S.{6,90}?(?:\s{2,}|\s*\.{4,}\s*)(?P<b>\d{1,6}))$")
 
 
-#: A header after the name of an author, who need not be the one in file_meta.
-_NAMED = re.compile(r"^(?:[A-ZÀ-ÖØ-Þ][\w'’.-]*\s+){1,3}[A-ZÀ-ÖØ-Þ][\w'’.-]*\s*:\s*(\S.+)$")
 _ISSUE = re.compile(r"^\S.{6,90}?\s*\|\s*[^\W\d_]{2,12}-\d{1,4}$")
 
 
@@ -285,10 +299,10 @@ class Reader:
         key = letters(line)
         if key in headers:
             return True
-        short = re.sub(r"(?:\s*\|\s*|\s+)[^\W\d_]{1,12}-?\.?\s*\d+\s*$|^\s*(?:p|pg|page)\.?\s*\d+\s+", "", line)
+        short = re.sub(_BESIDE, "", line)
         if short != line and letters(short) in headers:
             return True
-        m = _NAMED.match(line)
+        m = re.match(_NAMED, line)
         return bool(m) and letters(m.group(1)) in headers
 
     def joined(self, m: re.Match, kinds: set[str]) -> str:
@@ -355,7 +369,8 @@ def repaired(pages: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     vocab = sorted(counts)
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, vocab, [counts[w] for w in vocab], vectors(pages, vocab)))  # bounded by SHARE
     scanned = pages.filter(F.col("source_type").isin(*SCANNED)).select("page_id", "file_hash", "page_number", "text")
-    rows = scanned.join(headers(pages, meta), "file_hash", "left").select("page_id", "page_number", "text", "headers")
+    own = page_headers(scanned, headers(pages, meta)).withColumnsRenamed({"file_hash": "of_file", "page_id": "of_page"})
+    rows = scanned.join(own, (F.col("file_hash") == F.col("of_file")) & F.col("page_id").eqNullSafe(F.col("of_page")), "left").select("page_id", "page_number", "text", "headers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _readers(sent)

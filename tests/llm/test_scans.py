@@ -82,3 +82,12 @@ def test_author_and_title(spark):
     meta = spark.createDataFrame([("h", "Safety notice 101", "Renke de Ulm")], "file_hash string, title string, author string")
     got = [r["kinds"] for r in S.repaired(spark.createDataFrame(rows, "page_id bigint, file_hash string, page_number int, text string, source_type string"), meta).orderBy("page_id").collect()]
     assert got == [["furniture"]] * 3 + [[]] * 2
+
+
+def test_header_of_few_pages_in_a_large_file(spark):
+    mark = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(400)]
+    rows = [(i, "h", i, f"{'Section of the drainage survey' if i < 6 else 'Costs of the harbour 12 | ' + str(i) if i < 8 else mark[i] * 6}\nthe invoices {mark[i]}.\nthe quarter.", "ocr") for i in range(400)]
+    rows += [(None, "h", 401, "the quarter.\nSection of the drainage survey\nthe end.", "ocr"), (None, "other", 1, "Section of the drainage survey\nthe end.", "ocr")]
+    df = spark.createDataFrame(rows, "page_id bigint, file_hash string, page_number int, text string, source_type string")
+    got = S.repaired(df).collect()
+    assert len(got) == 402 and sorted(str(r["page_id"]) for r in got if r["kinds"]) == ["0", "1", "2", "3", "4", "5", "6", "7", "None"]
