@@ -103,6 +103,11 @@ def _decoded(stretch: str, back: dict[str, int]) -> str | None:
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
 
 
+def _latin_word(text: str, m: re.Match, new: str) -> bool:
+    """Whether Arabic letters or signs in a Latin word would become Latin letters."""
+    return all(c.isalpha() and ord(c) < 0x180 for c in new) and any(c.isascii() and c.isalpha() for c in text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1])
+
+
 def _layer(text: str) -> str | None:
     """The text with one layer taken off where that lowers the cost, by the encoding that lowers it most."""
     best, most = None, 0.0
@@ -115,7 +120,8 @@ def _layer(text: str) -> str | None:
             if encoding == "cp1256" and "\xa0" in m.group():
                 continue  # an Arabic letter before a no-break space is natural
             new = _decoded(m.group(), back)
-            if new is not None and not any(map(strange, new)) and (drop := total(m.group()) - total(new)) > 0:
+            inside = 4 if encoding == "cp1256" and new is not None and _latin_word(text, m, new) else 0
+            if new is not None and not any(map(strange, new)) and (drop := total(m.group()) - total(new) + inside) > 0:
                 gain += drop
                 out += [text[at : m.start()], new]
                 at = m.end()
@@ -133,6 +139,13 @@ _WALL = re.compile(r"[À-ÿ]{4,}")
 _HIGH = re.compile(r"[^\x00-\x7f]")
 #: Whole words in another script, which misread Latin text has not.
 _OTHER_SCRIPT = re.compile(r"[Ѐ-ӿ]{4,}|[Ͱ-Ͽ]{4,}")
+_SMALL_CAPITAL = re.compile(r"[а-я][А-Я]")
+
+
+def _arabic_as_cyrillic(found: list[str]) -> bool:
+    """Whether the whole words are Arabic that was read as Cyrillic: all are Arabic when turned, and capitals follow small letters."""
+    back, chars = _table("cp1251")[1], _table("cp1256")[0]
+    return all(c in back and 0x600 <= ord(chars[back[c]]) < 0x700 for w in found for c in w) and 4 * sum(bool(_SMALL_CAPITAL.search(w)) for w in found) >= len(found)
 
 
 def _oddness(text: str) -> float:
@@ -141,11 +154,14 @@ def _oddness(text: str) -> float:
 
 def _swap(text: str) -> str | None:
     """The text with lines of single-byte characters read under the right encoding, where they are odd and the cost drops."""
-    if not (_ODD.search(text) or _WALL.search(text)) or _OTHER_SCRIPT.search(text):
+    if not (_ODD.search(text) or _WALL.search(text)):
+        return None
+    other = _OTHER_SCRIPT.findall(text)
+    if other and not _arabic_as_cyrillic(other):
         return None
     lines, scores = text.split("\n"), {}
     odd = [i for i, line in enumerate(lines) if _ODD.search(line) or _WALL.search(line)]
-    for wrong, right in SWAPPED:
+    for wrong, right in (("cp1251", "cp1256"),) if other else SWAPPED:
         back, chars = _table(wrong)[1], _table(right)[0]
 
         def turn(line: str, back: dict = back, chars: str = chars) -> str:
@@ -166,6 +182,9 @@ _CUT_QUOTE, _CUT_SPACE = re.compile(r"â€(?![\x80-\xbfŒ-™])"), re.compile(r
 def repair(text: str) -> tuple[str, int]:
     """The text with all layers taken off, and how many there were."""
     layers = 0
+    # Arabic read as Cyrillic has pairs that look like UTF-8 by chance, so it comes before any layer
+    if (other := _OTHER_SCRIPT.findall(text)) and _arabic_as_cyrillic(other) and (new := _swap(text)) is not None:
+        text, layers = new, 1
     while layers < 6 and (new := _layer(text)) is not None:
         text, layers = new, layers + 1
     rest = _CUT_SPACE.sub(" ", _CUT_QUOTE.sub("”", text))
@@ -178,14 +197,14 @@ def repair(text: str) -> tuple[str, int]:
     return text, layers
 
 
-HIGH, ALWAYS, SMALL, ODD, LETTER, DIGIT, SPACE, CAPITAL = (1 << i for i in range(8))
+HIGH, ALWAYS, SMALL, ODD, LETTER, DIGIT, SPACE, CAPITAL, ARABIC = (1 << i for i in range(9))
 
 
 @cache
 def _classes() -> np.ndarray:
-    t = np.zeros(0x110000, np.uint8)
+    t = np.zeros(0x110000, np.uint16)
     t[0x80:] = HIGH
-    t[0x600:0x700] = 0
+    t[0x600:0x700] = ARABIC
     t[0x2000:0x2010] = 0
     for low, high in ((0x80, 0xA0), (0x370, 0x530), (0x2500, 0x2600), (0xFFFD, 0xFFFE)):
         t[low:high] |= ALWAYS
@@ -213,6 +232,8 @@ def suspects(texts: pa.Array) -> np.ndarray:
     hit[:-1] |= (p & ODD != 0) & (q & (DIGIT | SPACE) != 0)
     hit[:-1] |= (p & (CAPITAL | SPACE) != 0) & (q & ODD != 0) & np.append(q[1:] & SMALL != 0, False)
     hit[:-1] |= (points[:-1] == 0xC2) & (q & SPACE != 0)
+    hit[:-1] |= (p & ARABIC != 0) & (q & (HIGH | SMALL | CAPITAL) != 0)
+    hit[:-1] |= (p & (SMALL | CAPITAL) != 0) & (q & ARABIC != 0)
     hit |= c & ALWAYS != 0
     return np.unique(np.searchsorted(begins, np.flatnonzero(hit), side="right") - 1)
 

@@ -43,3 +43,16 @@ def test_operator(spark):
     every = R.repair_all(df)
     assert every.count() == len(rows) and every.filter(F.col("text") == TEXT).count() == 3
     assert R.repaired(df.filter("false")).count() == 0 == R.repair_all(df.filter("false")).count()
+
+
+def test_cp1256_alone():
+    import pyarrow as pa
+
+    from foliospark.llm import encoding_repair as R
+
+    latin = "the café for Müller in the Straße"
+    arabic = "وافقت اللجنة على مشروع الميزانية في الاجتماع السابق"
+    russian = "Комиссия одобрила проект бюджета"
+    bad = [latin.encode().decode("cp1256"), arabic.encode("cp1256").decode("cp1251"), "one word: caf" + "é".encode().decode("cp1256")]
+    assert R.repair_column(pa.array([*bad, russian, arabic])).to_pylist() == [latin, arabic, "one word: café", russian, arabic]
+    assert R._swap("ПРОТОКОЛ ЗАСЕДАНИЯ") is None
