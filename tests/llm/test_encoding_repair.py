@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,13 +49,72 @@ def test_operator(spark):
 
 
 def test_cp1256_alone():
-    import pyarrow as pa
-
-    from foliospark.llm import encoding_repair as R
-
     latin = "the café for Müller in the Straße"
     arabic = "وافقت اللجنة على مشروع الميزانية في الاجتماع السابق"
     russian = "Комиссия одобрила проект бюджета"
     bad = [latin.encode().decode("cp1256"), arabic.encode("cp1256").decode("cp1251"), "one word: caf" + "é".encode().decode("cp1256")]
     assert R.repair_column(pa.array([*bad, russian, arabic])).to_pylist() == [latin, arabic, "one word: café", russian, arabic]
     assert R._swap("ПРОТОКОЛ ЗАСЕДАНИЯ") is None
+
+
+CLEAN = [
+    "The word мир and Größe", "Let π ≈ 3.14 and λ in ℝ, α=0.5", "a │ b ─ c\n│5│6│", "5 Ω resistor 10 µF, 10 μm and ΔT = 3 K", "Zażółć gęślą jaźń. ŻÓŁĆ PÓŁ", "Příliš žluťoučký kůň úpěl ďábelské ódy",
+    "Kadın ılık süt içti; İstanbul'da ığdır ağacı", "Η γρήγορη αλεπού πηδά πάνω από τον σκύλο", "Её дом. Він і їжак; В\xa0Москве живёт Ґалаґан.", "שלום עולם", "こんにちは世界、東京です。", "你好，世界。这是一个测试", "안녕하세요 세계", "Tiếng Việt rất đẹp và trình bày ổn",
+    "नमस्ते दुनिया", "สวัสดีชาวโลก", "café\xa0» et «\xa0l’été\xa0», l’œuvre d’Éric — “déjà”", "Microsoft™ Müller† (†1990) ‡ naïve co·op col·lecció històric più città", "x² + y³ ≤ z; a∈B, ∀x∃y √2 ∫f(x)dx", "größe»«Straße» „Spaß“ ÜBER Ü“",
+    "hiša naša Košice Přišel šel", "emoji 😀👍🏽 ✓ → ★ ☎", "ﬁle ½ cup 20\xa0°C №5 §3", "Ελλάδα in Greece; Москва is Moscow; القاهرة is Cairo", "Łódź, Česká Třebová, Győr, Ålesund, Þingvellir, Đà Nẵng", "the ñ and ü", "ГОСТ 7.1 и А4 формат, ÷ ×5", "Été à Paris, où ? Noël, cœur, Ÿ", "© 2016 ® ™ ¶ • ‣ ·",
+]
+SCRIPTS = {
+    "en": "Zoë’s café — “naïve” £5 at 20 °C", "de": "Die Größe der Straße überrascht Müller", "fr": "La bibliothèque a reporté l’étude déjà prête", "es": "La sección de auditoría podrá mañana", "pt": "A avaliação não está à disposição", "ur": URDU, "ar": "وافقت اللجنة على مشروع الميزانية",
+    "hi": "नमस्ते दुनिया, यह एक परीक्षण है", "th": "สวัสดีชาวโลก นี่คือการทดสอบ", "vi": "Tiếng Việt rất đẹp và trình bày ổn", "zh": "你好，世界。这是一个测试", "ja": "こんにちは世界、東京です。", "ko": "안녕하세요 세계 여러분", "he": "שלום עולם וברכה", "el": "Η γρήγορη αλεπού πηδά πάνω από τον σκύλο",
+    "tr": "Kadın ılık süt içti; ağaç gölgesi", "ru": "Комиссия одобрила проект бюджета", "pl": "Zażółć gęślą jaźń i żubr", "emoji": "well done 😀👍 → ok",
+}
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_clean_text_of_any_script_stays(text):
+    assert R.repair(text) == (text, 0)
+    assert R.repair(f"{text}\nplain line\n{URDU}") == (f"{text}\nplain line\n{URDU}", 0)
+
+
+@pytest.mark.parametrize("encoding", R.LEGACY)
+def test_every_script_comes_back_from_every_encoding(encoding):
+    for language, text in SCRIPTS.items():
+        bad = garbled(text, encoding)
+        assert R.repair(bad) == (text, 1), (encoding, language)
+        assert R.repair_column(pa.array([None, "plain", bad])).to_pylist() == [None, "plain", text], (encoding, language)
+
+
+def test_any_number_of_layers():
+    text = SCRIPTS["fr"]
+    for layers in range(1, 10):
+        text = garbled(text, "cp1252")
+        assert R.repair(text) == (SCRIPTS["fr"], layers)
+
+
+@pytest.mark.parametrize(("bad", "good"), [("⌐ 2016 Stendale. All rights reserved.", "© 2016 Stendale. All rights reserved."), ("Nevar Utility ª", "Nevar Utility »"), ("By HΘl Velhamton", "By Hél Velhamton"), ("rose from Ј4 to Ђ69 – a", "rose from £4 to €69 – a"), ("The word мир and Nъria", "The word мир and Núria")])
+def test_single_places(bad, good):
+    assert R.repair_column(pa.array([bad])).to_pylist() == [good]
+
+
+def test_suspects_are_all_that_repair_changes():
+    rng = random.Random(11)
+    pool = [*SCRIPTS.values(), *CLEAN]
+    changed = 0
+    for _ in range(30000):
+        text, kind = rng.choice(pool), rng.randrange(3)
+        at = rng.randrange(len(text))
+        text = text[at : at + rng.randrange(1, 12)]
+        try:
+            if kind == 0:
+                text = garbled(text, rng.choice(R.LEGACY))
+            elif kind == 1:
+                wrong, right = rng.choice((*R.SWAPPED, R.ARABIC_AS_CYRILLIC))
+                text = text.encode(right).decode(wrong)
+            else:
+                text = "".join(rng.choice(rng.choice(pool)) for _ in range(rng.randrange(1, 6)))
+        except UnicodeError:
+            continue
+        if R.repair(text)[1]:
+            changed += 1
+            assert len(R.suspects(pa.array([text]))) == 1, text
+    assert changed > 5000
