@@ -1,9 +1,11 @@
 """The k most similar vectors of every vector by cosine (problem 4).
 
-Block matrix join. Cells come from spherical k-means on a bounded sample; every vector is put in its nearest cell, cells over a block
-size are split. First each block is multiplied with itself in float, which gives every vector k neighbours and a lower bound. Then
-each vector is sent, as int8, to the other blocks of its nearest cells that may hold something better; the int8 tile products give
-similarities with a quantisation error bound, the pairs that survive the bound are recomputed in float, and heaps merge the results.
+Block matrix join in two levels. Groups come from spherical k-means on a sample, as many as the square root of the cells; each group is a
+block that one task holds, and is cut into cells of a constant size by k-means again. Each block is first joined with itself, which gives
+every vector k neighbours and a lower bound; then each vector is sent, as int8, to the blocks of its nearest groups that may hold
+something better. Inside a block a vector meets the rows of its nearest cells: the products of int8 tiles give similarities with a bound
+of the quantisation error, pairs that survive the bound are recomputed in float, and heaps merge the results. A vector is compared with
+some thousand rows and some square root of all rows in centres, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 
 from foliospark.session import materialise
 
-#: Index parameters: rows of the k-means sample, rows a cell should hold, most cells, cells searched by a vector, rows of a block.
-SAMPLE, PER_CELL, MOST_CELLS, PROBES, BLOCK = 65_536, 128, 4096, 8, 8192
+#: Index parameters: rows of a cell; rows of the k-means sample for each centre of a group and of a cell; cells that a vector searches in
+#: its own block and in another; groups that a vector is sent to besides its own.
+PER_CELL, GROUP_SAMPLE, CELL_SAMPLE, OWN_CELLS, OTHER_CELLS, GROUPS = 128, 256, 32, 8, 8, 9
 
 
 def usable(df: DataFrame, vector: str, dim: int) -> DataFrame:
@@ -70,74 +73,178 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.broadcast_to(np.arange(k), (len(sims), k))
 
 
-def neighbours(df: DataFrame, key: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def _nearest(x: np.ndarray, mid: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.argmax(x[i : i + 4096] @ mid.T, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+
+
+def leaders(x: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are among the first k + 1 by name of those that are equal up to 20 bits: no query needs more of them.
+
+    A great many equal vectors, which no bound tells apart, so meet each query as k + 1 rows.
+    """
+    rng = np.random.default_rng(5)
+    odd = rng.integers(0, 1 << 62, x.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    hashed = (np.rint(x * np.float32(1 << 20)).astype(np.int64).view(np.uint64) * odd).sum(axis=1)
+    order = np.lexsort((names, hashed))
+    begins = np.flatnonzero(np.diff(hashed[order].astype(np.int64), prepend=hashed[order[0]].astype(np.int64) - 1)) if len(x) else order
+    rank = np.arange(len(x)) - np.repeat(begins, np.diff(np.append(begins, len(x))))
+    lead = np.zeros(len(x), bool)
+    lead[order[rank <= k]] = True
+    return lead
+
+
+class Block:
+    """The rows of a block as int8, sorted into cells."""
+
+    def __init__(self, x: np.ndarray):
+        self.q, self.scale, self.error = quantise(x)
+        cells = max(1, round(len(x) / PER_CELL))
+        step = max(1, len(x) // (CELL_SAMPLE * cells))
+        self.mid = centres(x[::step], cells) if cells > 1 else x[:1]
+        own = _nearest(x, self.mid)
+        order = np.argsort(own, kind="stable")
+        begins = np.flatnonzero(np.diff(own[order], prepend=-1))
+        self.mid = self.mid[own[order][begins]]
+        self.cells = np.split(order, begins[1:])
+        # the angle around its centre that holds a cell
+        near = np.einsum("ij,ij->i", x, self.mid[np.searchsorted(own[order][begins], own)])
+        length = np.linalg.norm(self.mid, axis=1)
+        self.mid = self.mid / np.maximum(length, 1e-12)[:, None]
+        self.angle = np.array([np.arccos(np.clip(near[rows].min() / max(length[i], 1e-12), -1, 1)) for i, rows in enumerate(self.cells)])
+        self.compared = 0
+
+    def search(self, q: np.ndarray, scale: np.ndarray, error: np.ndarray, floor: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query and a row that may belong to the query's k best, by the error bounds of the int8 products.
+
+        floor is the similarity that a row must exceed for each query; own says which row of the block a query is, or -1.
+        """
+        floor, values = floor.astype(np.float32).copy(), q.astype(np.float32)
+        lows = np.full((len(q), k), -2, np.float32)
+        far = (values * scale[:, None]) @ self.mid.T
+        probes = min(OTHER_CELLS if own is None else OWN_CELLS, len(self.cells))
+        order = np.take_along_axis(best := _best(far, probes), np.argsort(-np.take_along_axis(far, best, 1), axis=1, kind="stable"), 1)
+        hits_q, hits_row, hits_high = [], [], []
+        for rank in range(probes):
+            cell = order[:, rank]
+            # no row of the cell can be nearer than this
+            nearest = np.cos(np.maximum(0, np.arccos(np.clip(far[np.arange(len(q)), cell], -1, 1)) - self.angle[cell])) + error + 1e-6
+            asking = np.flatnonzero(nearest >= floor)
+            asking = asking[np.argsort(cell[asking], kind="stable")]
+            begins = np.flatnonzero(np.diff(cell[asking], prepend=-1))
+            for part in np.split(asking, begins[1:]) if len(asking) else ():
+                rows = self.cells[cell[part[0]]]
+                data = self.q[rows].astype(np.float32)
+                for at in range(0, len(part), 4096):
+                    mine = part[at : at + 4096]
+                    self.compared += len(mine) * len(rows)
+                    sims = (values[mine] @ data.T) * scale[mine, None] * self.scale[rows][None, :]  # the integer products are exact in float
+                    if own is not None:
+                        sims[own[mine][:, None] == rows[None, :]] = -9
+                    slack = error[mine, None] + self.error[rows][None, :] + error[mine, None] * self.error[rows][None, :] + 1e-6
+                    low = sims - slack
+                    top = low if low.shape[1] <= k else -np.partition(-low, k - 1, axis=1)[:, :k]
+                    lows[mine] = -np.partition(-np.concatenate((lows[mine], top), axis=1), k - 1, axis=1)[:, :k]
+                    floor[mine] = np.maximum(floor[mine], lows[mine].min(axis=1))
+                    high = sims + slack
+                    i, j = np.nonzero((high >= floor[mine][:, None]) & (sims > -2))
+                    hits_q.append(mine[i]), hits_row.append(rows[j]), hits_high.append(high[i, j])
+        if not hits_q:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        one, row, high = np.concatenate(hits_q), np.concatenate(hits_row), np.concatenate(hits_high)
+        keep = high >= floor[one]
+        return one[keep], row[keep]
+
+
+def _first(one: np.ndarray, sims: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Of pairs of a query and a row, those among the k best of the query, best first; equal similarities go by name."""
+    order = np.lexsort((names, -sims, one))
+    one = one[order]
+    begins = np.flatnonzero(np.diff(one, prepend=-1))
+    rank = np.arange(len(one)) - np.repeat(begins, np.diff(np.append(begins, len(one))))
+    return order[rank < k]
+
+
+def _lists(values: pa.Array, owner: np.ndarray, rows: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=rows)))), pa.int32()), values)
+
+
+def neighbours(df: DataFrame, key: str = "id", vector: str = "embedding", dim: int = 64, k: int = 5, groups: int = GROUPS) -> DataFrame:
     """key, neighbours: array<struct<key, similarity>> of up to k other rows, best first; equal similarities go by key.
 
     Rows with null, short, long, zero or non-finite vectors take no part; keys must be unique and not null; other columns are not read.
     Equal vectors are neighbours of each other with similarity 1. Fewer than k + 1 usable rows give shorter lists, none gives no rows.
+    The sample and the centres of groups grow with the square root of the rows, and so do the rows of a block.
     """
     spark = df.sparkSession
     rows = usable(df.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v")), "v", dim)
-    total = df.count()  # an upper bound from the file footers; it only sets the number of cells
-    cells = max(1, min(MOST_CELLS, total // PER_CELL))
-    sample = rows.select("v") if total <= SAMPLE else rows.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(min(SAMPLE, 32 * cells)).select("v")
-    drawn = sample.toArrow()  # bounded by SAMPLE
+    total = df.count()  # an upper bound from the file footers; it only sets the number of groups
+    wanted = max(1, round((total / PER_CELL) ** 0.5))
+    drawn = rows.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(GROUP_SAMPLE * wanted).select("v").toArrow()  # so many rows a group
     if not drawn.num_rows:
         return spark.createDataFrame([], "id string, neighbours array<struct<id: string, similarity: float>>").withColumnRenamed("id", key)
-    x = _unit(_matrix(drawn.column("v"), dim))
-    if len(x) > 32 * cells:
-        x = x[: 32 * cells]
-    mid = spark.sparkContext.broadcast(centres(x, cells))  # at most MOST_CELLS rows
+    mid = spark.sparkContext.broadcast(centres(_unit(_matrix(drawn.column("v"), dim)), wanted))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
                 x = _unit(_matrix(part.column("v"), dim))
-                yield pa.RecordBatch.from_arrays([part.column("id"), _vectors(x), pa.array(np.argmax(x @ mid.value.T, axis=1).astype(np.int32))], ["id", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), _vectors(x), pa.array(_nearest(x, mid.value).astype(np.int32))], ["id", "v", "group"])
 
-    placed = rows.mapInArrow(assign, "id string, v array<float>, cell int")
-    counted = {r["cell"]: -(-r["n"] // block) for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most MOST_CELLS rows
-    blocks = np.ones(len(mid.value), np.int32)
-    for c, n in counted.items():
-        blocks[c] = n
+    placed = rows.mapInArrow(assign, "id string, v array<float>, group int")
+    # one row a group; a group far above the others, as equal vectors make it, is several blocks
+    counted = {r["group"]: r["n"] for r in placed.groupBy("group").agg(F.count("*").alias("n")).collect()}
+    most = 4096 + 4 * total // len(mid.value)
+    blocks = np.array([-(-counted.get(g, 0) // most) for g in range(len(mid.value))], np.int64)
     first = np.concatenate(([0], np.cumsum(blocks)))
-    split = spark.sparkContext.broadcast((blocks, first, np.array([counted.get(c, 0) > 0 for c in range(len(blocks))])))
-    of_cell = F.element_at(F.array(*[F.lit(int(n)) for n in blocks]), F.col("cell") + 1) if (blocks > 1).any() else F.lit(1)
-    start = F.element_at(F.array(*[F.lit(int(n)) for n in first[:-1]]), F.col("cell") + 1) if (blocks > 1).any() else F.col("cell")
-    placed = placed.withColumn("block", (start + F.pmod(F.xxhash64("id"), of_cell)).cast("int"))
+    split = spark.sparkContext.broadcast((blocks, first))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, begin = split.value
+        for b in batches:
+            g = b.column("group").to_numpy()
+            part = b.column("h").to_numpy().view(np.uint64) % np.maximum(counts[g], 1).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array((begin[g] + part.astype(np.int64)).astype(np.int32))], ["id", "v", "block"])
+
+    placed = placed.withColumn("h", F.xxhash64("id")).mapInArrow(number, "id string, v array<float>, block int")
 
     def own(t: pa.Table) -> pa.Table:
-        """Neighbours inside the block, in float, and the other blocks to search."""
+        """Neighbours inside the block, and the other blocks to search."""
         ids, x = t.column("id").combine_chunks(), _matrix(t.column("v"), dim)
-        names = np.asarray(ids.to_pylist(), object)
-        counts, begin, used = split.value
-        near_id, near_sim, search = [], [], []
+        counts, begin = split.value
         mine = t.column("block")[0].as_py()
-        for at in range(0, len(x), 1024):
-            part = x[at : at + 1024]
-            sims = part @ x.T
-            sims[np.arange(len(part)), np.arange(at, at + len(part))] = -9
-            best = _best(sims, min(k, len(x) - 1)) if len(x) > 1 else np.zeros((len(part), 0), np.int64)
-            top = np.take_along_axis(sims, best, 1)
+        names = np.empty(len(x), np.int64)
+        names[np.argsort(np.asarray(ids.to_pylist(), object), kind="stable")] = np.arange(len(x))
+        lead = leaders(x, names, k)
+        place = np.where(lead, np.cumsum(lead) - 1, -1)
+        one, row = Block(x[lead]).search(*quantise(x), np.full(len(x), -2, np.float32), k, place)
+        row = np.flatnonzero(lead)[row]
+        sims = np.concatenate([np.einsum("ij,ij->i", x[one[i : i + 65536]], x[row[i : i + 65536]]) for i in range(0, len(one), 65536)]) if len(one) else np.zeros(0, np.float32)
+        kept = _first(one, sims, names[row], k)
+        one, row, sims = one[kept], row[kept], sims[kept]
+        floor = np.full(len(x), 2, np.float32)
+        np.minimum.at(floor, one, sims)
+        floor[np.bincount(one, minlength=len(x)) < k] = -1
+        search_block, search_owner = [], []
+        for at in range(0, len(x), 4096):
+            part, low = x[at : at + 4096], floor[at : at + 4096]
             far = part @ mid.value.T
-            cells_near = _best(far, probes)
             home = np.argmax(far, axis=1)
-            for i in range(len(part)):
-                near_id.append(list(names[best[i]])), near_sim.append(top[i].tolist())
-                floor = float(top[i].min()) if best.shape[1] == k else -1.0
-                want = []
-                if floor < 1 - 1e-6:
-                    for c in {int(home[i]), *cells_near[i].tolist()}:
-                        if not used[c]:
-                            continue
-                        gap = 1e-9 + 2 - 2 * float(mid.value[home[i]] @ mid.value[c])
-                        margin = float(far[i, home[i]] - far[i, c])
-                        if c == home[i] or margin * margin / gap < 2 - 2 * floor + 1e-5:
-                            want += [j for j in range(int(begin[c]), int(begin[c] + counts[c])) if j != mine]
-                search.append(want)
-        number = pa.array((mine << 32) + np.arange(len(x)), pa.int64())
-        return pa.table({"n": number, "id": ids, "v": _vectors(x), "block": t.column("block"), "near": pa.array(near_id, pa.list_(pa.string())), "sims": pa.array(near_sim, pa.list_(pa.float32())), "search": pa.array(search, pa.list_(pa.int32()))})
+            near = _best(far, groups + 1)
+            gap = 1e-9 + ((mid.value[home][:, None, :] - mid.value[near]) ** 2).sum(axis=2)
+            margin = far[np.arange(len(part)), home][:, None] - np.take_along_axis(far, near, 1)
+            # what lies on the other side of the plane between two centres is farther away than the plane
+            may = ((near == home[:, None]) | (margin * margin / gap < 2 - 2 * low[:, None] + 1e-5)) & (low < 1 - 1e-6)[:, None]
+            i, j = np.nonzero(may)
+            g = near[i, j]
+            times = counts[g]
+            i, g = np.repeat(i, times), np.repeat(g, times)
+            b = begin[g] + np.arange(len(g)) - np.repeat(np.cumsum(times) - times, times)
+            keep = b != mine
+            search_block.append(b[keep]), search_owner.append(at + i[keep])
+        search_block, search_owner = np.concatenate(search_block), np.concatenate(search_owner)
+        at = pa.array((mine << 32) + np.arange(len(x)), pa.int64())
+        return pa.table({"n": at, "id": ids, "v": _vectors(x), "block": t.column("block"), "lead": pa.array(lead), "near": _lists(ids.take(pa.array(row)), one, len(x)), "sims": _lists(pa.array(sims.astype(np.float32)), one, len(x)), "search": _lists(pa.array(search_block.astype(np.int32)), search_owner, len(x))})
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,34 +253,42 @@ def neighbours(df: DataFrame, key: str = "id", vector: str = "embedding", dim: i
             floor = np.array([min(s) if len(s) >= k else -1.0 for s in sims], np.float32)
             yield pa.RecordBatch.from_arrays([b.column("n"), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(scale), pa.array(error), pa.array(floor), b.column("search")], ["n", "q", "scale", "error", "floor", "search"])
 
-    home = materialise(placed.groupBy("block").applyInArrow(own, "n bigint, id string, v array<float>, block int, near array<string>, sims array<float>, search array<int>"), "home")
-    asked = home.filter(F.size("search") > 0).select("n", "v", "sims", "search").mapInArrow(packed, "n bigint, q binary, scale float, error float, floor float, search array<int>").select(F.explode("search").alias("block"), "n", "q", "scale", "error", "floor")
-
-    def tile(data: pa.Table, queries: pa.Table) -> pa.Table:
-        """Pairs of a query and a row of the block that may belong to the k best, by the error bounds of the int8 product."""
-        out_n, out_row = [], []
-        if data.num_rows and queries.num_rows:
-            x = _matrix(data.column("v"), dim)
-            dq, ds, de = quantise(x)
-            dq = dq.astype(np.float32)
-            q = np.frombuffer(b"".join(queries.column("q").to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
-            qs, qe, floor = (queries.column(c).to_numpy() for c in ("scale", "error", "floor"))
-            asking = queries.column("n").to_numpy()
-            for at in range(0, len(q), 1024):
-                s = slice(at, at + 1024)
-                sims = (q[s] @ dq.T) * qs[s, None] * ds[None, :]  # the integer products are exact in float
-                slack = qe[s, None] + de[None, :] + qe[s, None] * de[None, :] + 1e-6
-                bar = floor[s].copy()
-                if len(x) >= k:
-                    low = sims - slack
-                    bar = np.maximum(bar, np.partition(low, len(x) - k, axis=1)[:, len(x) - k])
-                hit_q, hit_d = np.nonzero(sims + slack >= bar[:, None])
-                out_n.append(asking[s][hit_q]), out_row.append(hit_d)
-        rows = np.concatenate(out_row) if out_row else np.zeros(0, np.int64)
-        numbers = np.concatenate(out_n) if out_n else np.zeros(0, np.int64)
-        return pa.table({"n": pa.array(numbers), "other": data.column("id").take(pa.array(rows)), "w": data.column("v").take(pa.array(rows))})
-
-    survivors = home.select("block", "id", "v").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(tile, "n bigint, other string, w array<float>")
+    home = materialise(placed.groupBy("block").applyInArrow(own, "n bigint, id string, v array<float>, block int, lead boolean, near array<string>, sims array<float>, search array<int>"), "home")
+    # a block that many rows ask is held by several tasks, each with a part of the queries; one row a block comes here
+    asks = home.select(F.explode("search").alias("block")).groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * most).collect()
+    copies = {r["block"]: -(-r["n"] // (4 * most)) for r in asks}
+    times = F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for kv in copies.items() for x in kv]), F.col("block")), F.lit(1)) if copies else F.lit(1)
+    asked = home.filter(F.size("search") > 0).select("n", "v", "sims", "search").mapInArrow(packed, "n bigint, q binary, scale float, error float, floor float, search array<int>").select(F.explode("search").alias("block"), "n", "q", "scale", "error", "floor").withColumn("copy", F.pmod(F.xxhash64("n"), times).cast("int"))
+    data = home.filter("lead").select("block", "n", "id", "v", F.explode(F.sequence(F.lit(0), times - 1)).alias("copy"))
+    both = data.withColumns({"scale": F.lit(None).cast("float"), "error": F.lit(None).cast("float"), "floor": F.lit(None).cast("float"), "q": F.lit(None).cast("binary")}).unionByName(asked.withColumns({"id": F.lit(None).cast("string"), "v": F.lit(None).cast("array<float>")}))
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a block come first, then its queries, batch by batch: the pairs that survive, with the row's vector."""
+        here, held, block = None, [], None
+        for b in batches:
+            place = b.column("block").to_numpy().astype(np.int64) << 32 | b.column("copy").to_numpy()
+            is_row = np.asarray(b.column("id").is_valid())
+            change = np.flatnonzero((np.diff(place) != 0) | (is_row[1:] != is_row[:-1])) + 1
+            for x, y in zip([0, *change], [*change, len(place)], strict=True):
+                part = b.slice(x, y - x)
+                if place[x] != here:
+                    here, held, block = place[x], [], None
+                if is_row[x]:
+                    held.append(part.select(["id", "v"]))
+                    continue
+                if not held:
+                    continue
+                if block is None:
+                    rows = pa.Table.from_batches(held).combine_chunks()
+                    block = Block(_matrix(rows.column("v"), dim))
+                q = np.frombuffer(b"".join(part.column("q").to_pylist()), np.int8).reshape(-1, dim)
+                one, row = block.search(q, *(part.column(c).to_numpy(zero_copy_only=False) for c in ("scale", "error", "floor")), k)
+                for at in range(0, len(one), 20_000):
+                    there = rows.take(pa.array(row[at : at + 20_000])).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([pa.array(part.column("n").to_numpy()[one[at : at + 20_000]]), there.column("id").combine_chunks(), there.column("v").combine_chunks()], ["n", "other", "w"])
+
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(blocks.sum()))
+    survivors = both.repartition(parts, "block", "copy").sortWithinPartitions("block", "copy", F.col("id").isNull()).mapInArrow(tile, "n bigint, other string, w array<float>")
     extra = survivors.groupBy("n").agg(F.collect_list(F.struct("other", "w")).alias("extra"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

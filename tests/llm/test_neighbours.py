@@ -23,7 +23,7 @@ def test_recall_against_brute_force(spark):
     heart = rng.normal(size=(150, 8))
     x = (heart[rng.integers(0, 150, 3000)] + 0.15 * rng.normal(size=(3000, 8))) * rng.uniform(0.1, 9, (3000, 1))
     s, fifth = brute(x.astype(np.float32).astype(float), 5)
-    got = N.neighbours(frame(spark, x, BAD), dim=8, block=400).collect()
+    got = N.neighbours(frame(spark, x, BAD), dim=8).collect()
     assert len(got) == 3000
     hit = total = 0
     for r in got:
@@ -45,10 +45,49 @@ def test_small_and_tied(spark):
     assert N.neighbour_pairs(frame(spark, x[:0], BAD).filter("false"), dim=8).count() == 0
 
 
-def test_hot_cell_is_split(spark):
-    x = np.concatenate((np.ones((900, 8)), np.eye(8)[[0] * 40] + np.random.default_rng(1).normal(size=(40, 8)) * 0.01))
-    got = N.neighbours(frame(spark, x), dim=8, block=100).collect()
-    assert all(len(r["neighbours"]) == 5 for r in got) and all(r["neighbours"][4]["similarity"] > 0.99 for r in got)
+def test_equal_vectors_and_a_dense_cluster(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate((np.ones((9000, 8)) * rng.uniform(0.1, 9, (9000, 1)), np.eye(8)[[0] * 2000] + rng.normal(size=(2000, 8)) * 0.01, rng.normal(size=(1000, 8))))
+    got = {r["id"]: r["neighbours"] for r in N.neighbours(frame(spark, x), dim=8).collect()}
+    assert len(got) == len(x) and all(len(n) == 5 for n in got.values())
+    assert all(n["similarity"] > 1 - 1e-6 for i in range(0, 9000, 97) for n in got[f"v{i:05d}"])
+    s = x[9000:] / np.linalg.norm(x[9000:], axis=1, keepdims=True)
+    hit = 0
+    asked = range(0, 2000, 13)
+    for i in asked:
+        sims = s @ s[i]
+        sims[i] = -9
+        hit += sum(n["similarity"] >= np.sort(sims)[-5] - 1e-6 for n in got[f"v{9000 + i:05d}"])
+    assert hit / (5 * len(asked)) > 0.99
+
+
+def test_comparisons_do_not_grow_with_the_rows():
+    """A row meets the same number of rows, and of centres the square root of all rows."""
+    rng = np.random.default_rng(0)
+    compared = []
+    for n in (20_000, 200_000):
+        heart = rng.normal(size=(n // 100, 16)).astype(np.float32)
+        x = N._unit(heart[rng.integers(0, len(heart), n)] + 0.3 * rng.normal(size=(n, 16)).astype(np.float32))
+        groups = round((n / N.PER_CELL) ** 0.5)
+        own = N._nearest(x, mid := N.centres(x[: N.GROUP_SAMPLE * groups], groups))
+        size = np.bincount(own, minlength=len(mid))
+        rows = np.flatnonzero(own == np.argsort(size)[len(mid) // 2])
+        block = N.Block(x[rows])
+        block.search(block.q, block.scale, block.error, np.full(len(rows), -2, np.float32), 5, np.arange(len(rows)))
+        compared.append(block.compared / len(rows))
+        assert size.max() < 5 * n / groups
+    assert max(compared) < 1.5 * N.OWN_CELLS * N.PER_CELL
+
+
+def test_block_search_keeps_the_best():
+    """With all cells searched, the pairs that survive the bounds hold every true neighbour."""
+    rng = np.random.default_rng(3)
+    x = N._unit(rng.normal(size=(900, 64)).astype(np.float32))
+    block = N.Block(x)
+    one, row = block.search(block.q, block.scale, block.error, np.full(len(x), -2, np.float32), 5, np.arange(len(x)))
+    s, fifth = brute(x.astype(float), 5)
+    pairs = set(zip(one.tolist(), row.tolist(), strict=True))
+    assert all((i, j) in pairs for i in range(len(x)) for j in np.flatnonzero(s[i] >= fifth[i] - 1e-9))
 
 
 def test_error_bound():
