@@ -22,7 +22,7 @@ from foliospark.session import materialise
 
 #: Index parameters: rows of a cell; rows of the k-means sample for each centre of a group and of a cell; cells that a vector searches in
 #: its own block and in another; groups that a vector is sent to besides its own.
-PER_CELL, GROUP_SAMPLE, CELL_SAMPLE, OWN_CELLS, OTHER_CELLS, GROUPS = 128, 256, 32, 8, 8, 9
+PER_CELL, GROUP_SAMPLE, CELL_SAMPLE, OWN_CELLS, OTHER_CELLS, GROUPS = 128, 256, 32, 8, 6, 7
 
 
 def usable(df: DataFrame, vector: str, dim: int) -> DataFrame:
@@ -164,6 +164,18 @@ def _first(one: np.ndarray, sims: np.ndarray, names: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
+def closer(q: np.ndarray, scale: np.ndarray, error: np.ndarray, floor: np.ndarray, x: np.ndarray, one: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """Which surviving pairs survive the bound of the query's error alone: the rows of a block are there in float."""
+    sims = np.concatenate([np.einsum("ij,ij->i", q[one[i : i + 65536]] * scale[one[i : i + 65536], None], x[row[i : i + 65536]]) for i in range(0, len(one), 65536)]) if len(one) else np.zeros(0, np.float32)
+    bar = floor.astype(np.float32).copy()
+    best = _first(one, sims, row, k)
+    enough = np.bincount(one[best], minlength=len(q)) >= k
+    least = np.full(len(q), 2, np.float32)
+    np.minimum.at(least, one[best], (sims - error[one] - 1e-6)[best])
+    bar[enough] = np.maximum(bar, least)[enough]
+    return np.flatnonzero(sims + error[one] + 1e-6 >= bar[one])
+
+
 def _lists(values: pa.Array, owner: np.ndarray, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=rows)))), pa.int32()), values)
 
@@ -269,20 +281,24 @@ def neighbours(df: DataFrame, key: str = "id", vector: str = "embedding", dim: i
             place = b.column("block").to_numpy().astype(np.int64) << 32 | b.column("copy").to_numpy()
             is_row = np.asarray(b.column("id").is_valid())
             change = np.flatnonzero((np.diff(place) != 0) | (is_row[1:] != is_row[:-1])) + 1
-            for x, y in zip([0, *change], [*change, len(place)], strict=True):
-                part = b.slice(x, y - x)
-                if place[x] != here:
-                    here, held, block = place[x], [], None
-                if is_row[x]:
+            for start, end in zip([0, *change], [*change, len(place)], strict=True):
+                part = b.slice(start, end - start)
+                if place[start] != here:
+                    here, held, block = place[start], [], None
+                if is_row[start]:
                     held.append(part.select(["id", "v"]))
                     continue
                 if not held:
                     continue
                 if block is None:
                     rows = pa.Table.from_batches(held).combine_chunks()
-                    block = Block(_matrix(rows.column("v"), dim))
+                    x = _matrix(rows.column("v"), dim)
+                    block = Block(x)
                 q = np.frombuffer(b"".join(part.column("q").to_pylist()), np.int8).reshape(-1, dim)
-                one, row = block.search(q, *(part.column(c).to_numpy(zero_copy_only=False) for c in ("scale", "error", "floor")), k)
+                scale, error, floor = (part.column(c).to_numpy(zero_copy_only=False) for c in ("scale", "error", "floor"))
+                one, row = block.search(q, scale, error, floor, k)
+                kept = closer(q, scale, error, floor, x, one, row, k)
+                one, row = one[kept], row[kept]
                 for at in range(0, len(one), 20_000):
                     there = rows.take(pa.array(row[at : at + 20_000])).combine_chunks()
                     yield pa.RecordBatch.from_arrays([pa.array(part.column("n").to_numpy()[one[at : at + 20_000]]), there.column("id").combine_chunks(), there.column("v").combine_chunks()], ["n", "other", "w"])
