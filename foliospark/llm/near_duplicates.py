@@ -130,25 +130,65 @@ def signed(df: DataFrame, key: str, text: str, least_words: int, shingle: int) -
 REACH = 18
 #: Entries of the band index that one block should hold.
 BLOCK = 500_000
+#: A band's hash that so many classes share is split over several blocks; it is looked for among one in SAMPLED classes.
+CROWD, SAMPLED = 4096, 64
+#: The rest of a band's hash with the kind of the entry in its two low bits, and the class.
 _ENTRY = np.dtype([("h", "<u4"), ("low", "<u4"), ("high", "<u2")])
+ALL, LEFT, RIGHT = range(3)
 
 
-def _index_blocks(parts: int):
+def _bands(column: pa.Array) -> np.ndarray:
+    """The hashes (40 bits) of all bands, row after row."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 5)
+    hashed = np.zeros(len(raw), np.uint64)
+    for k in range(5):
+        hashed |= raw[:, k].astype(np.uint64) << np.uint64(8 * k)
+    return hashed
+
+
+def _crowded(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of bands that very many classes share, and into how many parts the classes of each are split.
+
+    A hash that is not among them though crowded only makes a large block; each of them stands for some CROWD classes, which bounds them.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bands(b.column("bands")).astype(np.int64))], ["h"])
+
+    some = table.filter(F.pmod(F.xxhash64("a"), F.lit(SAMPLED)) == 0).dropDuplicates(["a"]).select("bands").mapInArrow(explode, "h bigint")
+    often = some.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= CROWD // SAMPLED).toArrow().sort_by("h")
+    return often.column("h").to_numpy().astype(np.uint64), -(-often.column("n").to_numpy() * SAMPLED // CROWD)
+
+
+def _index_blocks(parts: int, crowds):
     """Rows of a block number and packed entries (the rest of a band's hash, the class) for it: the index travels in blocks.
 
-    A class counts once per batch, so a huge group of copies brings few entries.
+    A class counts once per batch, so a huge group of copies brings few entries. The classes of a crowded hash are split into parts, and
+    every pair of parts meets in a block of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowd, pieces = crowds.value
         for b in batches:
             a, first = np.unique(b.column("a").to_numpy().view(np.uint64), return_index=True)
-            raw = np.frombuffer(b"".join(b.column("bands").take(pa.array(first)).to_pylist()), np.uint8).reshape(-1, 5)
-            hashed = np.zeros(len(raw), np.uint64)
-            for k in range(5):
-                hashed |= raw[:, k].astype(np.uint64) << np.uint64(8 * k)
-            block, own = (hashed % np.uint64(parts)).astype(np.int64), np.repeat(a, BANDS)
-            entry = np.empty(len(raw), _ENTRY)
-            entry["h"], entry["low"], entry["high"] = (hashed // np.uint64(parts)) & np.uint64(0xFFFFFFFF), own & np.uint64(0xFFFFFFFF), own >> np.uint64(32)
+            hashed, own = _bands(b.column("bands").take(pa.array(first))), np.repeat(a, BANDS)
+            kind = np.full(len(own), ALL, np.uint64)
+            if len(crowd):
+                at = np.minimum(np.searchsorted(crowd, hashed), len(crowd) - 1)
+                split = crowd[at] == hashed
+                count = pieces[at[split]]
+                h, o = np.repeat(hashed[split], count), np.repeat(own[split], count)
+                mine = np.repeat((mix(own[split]) % count.astype(np.uint64)).astype(np.int64), count)
+                other = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
+                tile = np.minimum(mine, other) << 20 | np.maximum(mine, other)
+                h = mix(h ^ mix(tile.astype(np.uint64))) >> np.uint64(24)
+                sides = np.where(mine == other, ALL, np.where(mine < other, LEFT, RIGHT)).astype(np.uint64)
+                hashed, own, kind = np.concatenate((hashed[~split], h)), np.concatenate((own[~split], o)), np.concatenate((kind[~split], sides))
+            block = (hashed % np.uint64(parts)).astype(np.int64)
+            entry = np.empty(len(hashed), _ENTRY)
+            entry["h"] = ((hashed // np.uint64(parts)) << np.uint64(2) | kind) & np.uint64(0xFFFFFFFF)
+            entry["low"], entry["high"] = own & np.uint64(0xFFFFFFFF), own >> np.uint64(32)
             order = np.argsort(block, kind="stable")
             block, entry = block[order], entry[order]
             begins = np.flatnonzero(np.diff(block, prepend=-1))
@@ -167,13 +207,15 @@ def _block_pairs(raw: list[bytes]) -> Iterator[pa.RecordBatch]:
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
     h, own = h[new], own[new]
+    kind, h = h & 3, h >> 2
     size, at, d = own & 255, np.arange(len(h)), 1
     while True:
         at = at[at + d < len(h)]
         at = at[h[at] == h[at + d]]
         if not len(at):
             return
-        near = at[np.abs(size[at] - size[at + d]) <= REACH]
+        k = kind[at] + kind[at + d]  # two of kind ALL, or one of either side
+        near = at[((k == 2 * ALL) | (k == LEFT + RIGHT)) & (np.abs(size[at] - size[at + d]) <= REACH)]
         if len(near):
             yield pa.RecordBatch.from_arrays([pa.array(own[near]), pa.array(own[near + d])], ["x", "y"])
         d += 1
@@ -193,7 +235,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_pairs(table: DataFrame, threshold: float) -> DataFrame:
     """x, y: keys a of classes that meet in a band and whose sketches don't rule out the threshold."""
     parts = max(12, table.count() * BANDS // BLOCK)
-    index = table.select("a", "bands").mapInArrow(_index_blocks(parts), "block int, entries binary")
+    crowds = table.sparkSession.sparkContext.broadcast(_crowded(table))  # a hash for CROWD classes or more
+    index = table.select("a", "bands").mapInArrow(_index_blocks(parts, crowds), "block int, entries binary")
     met = index.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_met, "x bigint, y bigint").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     chance = 1 / (1 << BITS)
     expect = threshold + (1 - threshold) * chance
@@ -217,21 +260,18 @@ MOST_BITS = 1 << 28
 
 
 def _filter_bits(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter (one hash) of the classes in candidate pairs: of bounded size, made on the executors; it only lets too many through."""
+    """A Bloom filter (one hash) of the classes in candidate pairs: put together word by word on the executors, of bounded size; it only
+    lets too many through."""
     bits = min(MOST_BITS, 1 << max(16, (16 * wanted.count()).bit_length()))
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(bits // 8, np.uint8)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = mix(b.column("a").to_numpy().view(np.uint64)) & np.uint64(bits - 1)
-            np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        used = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used].astype(np.int16))], ["at", "byte"])
-
-    table = np.zeros(bits // 8, np.uint8)
-    merged = wanted.coalesce(8).mapInArrow(fill, "at bigint, byte smallint").groupBy("at").agg(F.bit_or("byte").alias("byte"))
-    got = merged.toArrow()
-    table[got.column("at").to_numpy()] = got.column("byte").to_numpy().astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+    got = wanted.mapInArrow(place, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most MOST_BITS / 64 rows
+    table = np.zeros(bits // 64, np.uint64)
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return table
 
 
@@ -249,8 +289,8 @@ def verified(df: DataFrame, table: DataFrame, text: str, least_words: int, shing
             for i in range(0, batch.num_rows, 2000):
                 hashed, owner, count, sets = _sets(batch.column("text").slice(i, 2000), shingle)
                 a, b, size = _keys(hashed, owner, sets)
-                at = mix(a) & np.uint64(8 * len(bits) - 1)
-                hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+                at = mix(a) & np.uint64(64 * len(bits) - 1)
+                hit = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(hashed.view(np.int64)))
                 keep = pa.array(np.flatnonzero((count >= least_words) & (size > 0) & (hit > 0)))
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)).take(keep), pa.array(b.view(np.int64)).take(keep), lists.take(keep)], ["a", "b", "set"])

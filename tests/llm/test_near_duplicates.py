@@ -72,3 +72,20 @@ def test_super_minhash_estimates_jaccard():
         real = both / (2 * n - both)
         assert abs(np.mean(got) - real) < 0.02
         assert np.std(got) <= (real * (1 - real) / 128) ** 0.5 * 1.15  # no more than plain MinHash
+
+
+def test_crowded_bands_are_split_without_loss(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):  # all alike, no two equal
+        w = list(base)
+        w[rng.randrange(120)] = f"x{i}"
+        rows.append((f"c{i:03d}", " ".join(w)))
+    df = spark.createDataFrame(rows + texts(), "id string, content string").repartition(5)
+    want = {tuple(r) for r in D.near_duplicate_pairs(df).collect()}
+    assert len([p for p in want if p[0][0] == p[1][0] == "c"]) == 150 * 149 // 2 + 1  # and copy1 with copy2
+    monkeypatch.setattr(D, "CROWD", 20)
+    monkeypatch.setattr(D, "SAMPLED", 1)
+    assert len(D._crowded(D.signed(df, "id", "content", 40, 3))[0]) > 10
+    assert {tuple(r) for r in D.near_duplicate_pairs(df).collect()} == want
