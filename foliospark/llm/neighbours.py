@@ -263,22 +263,23 @@ def neighbours(df: DataFrame, key: str = "id", vector: str = "embedding", dim: i
             q, scale, error = quantise(_matrix(b.column("v"), dim))
             sims = b.column("sims").to_pylist()
             floor = np.array([min(s) if len(s) >= k else -1.0 for s in sims], np.float32)
-            yield pa.RecordBatch.from_arrays([b.column("n"), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(scale), pa.array(error), pa.array(floor), b.column("search")], ["n", "q", "scale", "error", "floor", "search"])
+            ask = np.concatenate((q.view(np.uint8), np.stack((scale, error, floor), axis=1).astype(np.float32).view(np.uint8)), axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("n"), pa.array([r.tobytes() for r in ask], pa.binary()), b.column("search")], ["n", "ask", "search"])
 
     home = materialise(placed.groupBy("block").applyInArrow(own, "n bigint, id string, v array<float>, block int, lead boolean, near array<string>, sims array<float>, search array<int>"), "home")
     # a block that many rows ask is held by several tasks, each with a part of the queries; one row a block comes here
     asks = home.select(F.explode("search").alias("block")).groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * most).collect()
     copies = {r["block"]: -(-r["n"] // (4 * most)) for r in asks}
     times = F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for kv in copies.items() for x in kv]), F.col("block")), F.lit(1)) if copies else F.lit(1)
-    asked = home.filter(F.size("search") > 0).select("n", "v", "sims", "search").mapInArrow(packed, "n bigint, q binary, scale float, error float, floor float, search array<int>").select(F.explode("search").alias("block"), "n", "q", "scale", "error", "floor").withColumn("copy", F.pmod(F.xxhash64("n"), times).cast("int"))
-    data = home.filter("lead").select("block", "n", "id", "v", F.explode(F.sequence(F.lit(0), times - 1)).alias("copy"))
-    both = data.withColumns({"scale": F.lit(None).cast("float"), "error": F.lit(None).cast("float"), "floor": F.lit(None).cast("float"), "q": F.lit(None).cast("binary")}).unionByName(asked.withColumns({"id": F.lit(None).cast("string"), "v": F.lit(None).cast("array<float>")}))
+    asked = home.filter(F.size("search") > 0).select("n", "v", "sims", "search").mapInArrow(packed, "n bigint, ask binary, search array<int>").select(F.explode("search").alias("block"), "n", "ask").select((F.shiftleft(F.col("block").cast("bigint"), 24) + F.pmod(F.xxhash64("n"), times)).alias("place"), "n", "ask")
+    data = home.filter("lead").select("block", "id", "v", F.explode(F.sequence(F.lit(0), times - 1)).alias("copy")).select((F.shiftleft(F.col("block").cast("bigint"), 24) + F.col("copy")).alias("place"), "id", "v")
+    both = data.unionByName(asked, allowMissingColumns=True)
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of a block come first, then its queries, batch by batch: the pairs that survive, with the row's vector."""
         here, held, block = None, [], None
         for b in batches:
-            place = b.column("block").to_numpy().astype(np.int64) << 32 | b.column("copy").to_numpy()
+            place = b.column("place").to_numpy()
             is_row = np.asarray(b.column("id").is_valid())
             change = np.flatnonzero((np.diff(place) != 0) | (is_row[1:] != is_row[:-1])) + 1
             for start, end in zip([0, *change], [*change, len(place)], strict=True):
@@ -294,17 +295,17 @@ def neighbours(df: DataFrame, key: str = "id", vector: str = "embedding", dim: i
                     rows = pa.Table.from_batches(held).combine_chunks()
                     x = _matrix(rows.column("v"), dim)
                     block = Block(x)
-                q = np.frombuffer(b"".join(part.column("q").to_pylist()), np.int8).reshape(-1, dim)
-                scale, error, floor = (part.column(c).to_numpy(zero_copy_only=False) for c in ("scale", "error", "floor"))
+                raw = np.frombuffer(b"".join(part.column("ask").to_pylist()), np.uint8).reshape(-1, dim + 12)
+                q, (scale, error, floor) = raw[:, :dim].view(np.int8), np.ascontiguousarray(raw[:, dim:]).view(np.float32).T
                 one, row = block.search(q, scale, error, floor, k)
                 kept = closer(q, scale, error, floor, x, one, row, k)
                 one, row = one[kept], row[kept]
                 for at in range(0, len(one), 20_000):
                     there = rows.take(pa.array(row[at : at + 20_000])).combine_chunks()
-                    yield pa.RecordBatch.from_arrays([pa.array(part.column("n").to_numpy()[one[at : at + 20_000]]), there.column("id").combine_chunks(), there.column("v").combine_chunks()], ["n", "other", "w"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part.column("n").to_numpy(zero_copy_only=False).astype(np.int64)[one[at : at + 20_000]]), there.column("id").combine_chunks(), there.column("v").combine_chunks()], ["n", "other", "w"])
 
-    parts = max(2 * spark.sparkContext.defaultParallelism, int(blocks.sum()))
-    survivors = both.repartition(parts, "block", "copy").sortWithinPartitions("block", "copy", F.col("id").isNull()).mapInArrow(tile, "n bigint, other string, w array<float>")
+    parts = max(2 * spark.sparkContext.defaultParallelism, 3 * int(blocks.sum()))
+    survivors = both.repartition(parts, "place").sortWithinPartitions("place", F.col("id").isNull()).mapInArrow(tile, "n bigint, other string, w array<float>")
     extra = survivors.groupBy("n").agg(F.collect_list(F.struct("other", "w")).alias("extra"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
