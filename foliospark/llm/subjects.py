@@ -2,8 +2,9 @@
 
 The sentences of the numbered paragraphs are sorted into the areas and a class for what deals with none: a naive Bayes mixture over hashed
 words and word pairs, fitted by expectation-maximisation to labelled documents, in which a sentence deals with a labelled area or with
-none. Each area's share of the paragraphs, term evidence, source and structure are the features of a chain of calibrated classifiers, each
-of which sees the decisions before it; a beam search finds the best combination of areas.
+none; only words that labelled documents show to tell areas apart decide between areas. Each area's share of the paragraphs and of the
+sentences, source and structure are the features of a chain of calibrated classifiers, each of which sees the decisions before it; a beam
+search finds the best combination of areas.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from foliospark.llm.words import mix, words
 #: Labelled documents that the classifiers are fitted on, at most; they are chosen by the hash of their key.
 TRAIN_DOCS = 1500
 BUCKETS = 1 << 17
-#: The share of the paragraphs from which on an area counts, and the beam of the search.
-SHARE, BEAM = 0.25, 16
+#: The beam of the search. The share of the paragraphs from which on an area counts is learned from the labels.
+BEAM = 16
 SOURCES = 32
 
 _NUMBERED = re.compile(r"(?m)^[ \t]*(?:[(\[§]\s?|Rn\.? ?|no\.? ?)?(\d{1,4})(?:[)\].:]|[ \t ])\s?")
@@ -103,6 +104,27 @@ class Sentences:
         return np.stack([np.bincount(feature, r[owner, k], BUCKETS) for k in range(r.shape[1])], axis=1)
 
 
+def telling(s: Sentences, allowed: np.ndarray) -> np.ndarray:
+    """Which features (buckets) tell areas apart: those that stand far more often in texts labelled with some area than in others.
+
+    All else, the wording of the court above all, must not decide between areas, whatever it happens to be found with.
+    """
+    row = s.paragraph_row[s.paragraph] if len(s.first) else np.zeros(0, np.int64)
+    feature = np.concatenate((s.word, s.pair))
+    owner = np.concatenate((row[s.sentence], row[s.pair_sentence])) if len(row) else np.zeros(0, np.int64)
+    once = np.unique(owner * BUCKETS + feature)
+    owner, feature = once // BUCKETS, once % BUCKETS
+    n = np.bincount(feature, minlength=BUCKETS).astype(float)
+    base = allowed.mean(axis=0)
+    out = np.zeros(BUCKETS, bool)
+    for k in range(allowed.shape[1]):
+        with_k = np.bincount(feature, allowed[owner, k].astype(float), BUCKETS)
+        expected = n * base[k]
+        z = (with_k - expected) / np.sqrt(expected * (1 - base[k]) + 1e-9)
+        out |= (n >= 3) & (z > 4) & (with_k > np.minimum(0.9 * n, 2 * expected))
+    return out
+
+
 def fit_sentences(s: Sentences, allowed: np.ndarray, rounds: int = 12, other: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities of features by class (areas, then none) and log-priors; allowed (texts x areas) are the labels."""
     areas = allowed.shape[1]
@@ -111,12 +133,16 @@ def fit_sentences(s: Sentences, allowed: np.ndarray, rounds: int = 12, other: fl
     r = may * np.append(np.ones(areas), 0.7)
     r /= r.sum(axis=1, keepdims=True)
     table, prior = np.zeros((BUCKETS, areas + 1), np.float32), np.zeros(areas + 1)
+    decides = telling(s, allowed)
     for step in range(rounds):
         c = s.counts(r)
         base = c.sum(axis=1, keepdims=True)
         # words are smoothed towards their share in the whole, which keeps rare ones from deciding
         share = base / max(base.sum(), 1e-9)
         p = (c + 20.0 * share + 1e-4) / (c.sum(axis=0, keepdims=True) + 20.0 + 1e-4 * BUCKETS)
+        pooled = c[:, :areas].sum(axis=1, keepdims=True)
+        pooled = (pooled + 20.0 * share + 1e-4) / (pooled.sum() + 20.0 + 1e-4 * BUCKETS)
+        p[:, :areas] = np.where(decides[:, None], p[:, :areas], pooled)
         table = np.log(p).astype(np.float32)
         mass = r.sum(axis=0) + 1
         prior = np.log(mass / mass.sum())
@@ -144,7 +170,10 @@ def text_features(s: Sentences, table: np.ndarray, prior: np.ndarray, source: np
     np.add.at(share, s.paragraph_row, deals.astype(float))
     share /= np.maximum(count, 1)[:, None]
     sentences = np.bincount(s.paragraph_row[s.paragraph], minlength=s.rows) if len(s.first) else np.zeros(s.rows)
-    own = np.stack((share, share >= SHARE - 1e-9, np.clip((share - SHARE) * 10, -1, 1), weight / np.maximum(sentences, 1)[:, None]), axis=2)
+    hits = share * count[:, None]
+    odds = np.log((hits + 0.25) / (count[:, None] - hits + 0.25))
+    # terms: how far the words of the text as a whole speak for the area against the others
+    own = np.stack((share, odds, np.maximum(odds - odds.mean(axis=1, keepdims=True), 0), weight / np.maximum(sentences, 1)[:, None]), axis=2)
     whole = np.zeros((s.rows, 2 + SOURCES))
     whole[:, 0] = np.log1p(count) - 2
     whole[:, 1] = np.log1p(sentences) - 3
@@ -236,7 +265,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, mos
     repeated rows; extra columns are not read.
     """
     spark = documents.sparkSession
-    names = sorted(r["area"] for r in areas.select(area_name(F.col("area")).alias("area")).filter(F.col("area").isNotNull()).distinct().limit(1000).collect())
+    names = sorted(r["area"] for r in areas.select(area_name(F.col("area")).alias("area")).filter(F.col("area").isNotNull()).distinct().collect())  # the classes: a model has a column for each
     kind = documents.schema["doc_id"].dataType.simpleString()
     nothing = spark.createDataFrame([], f"doc_id {kind}, area string, share double, confidence double")
     if not names:
