@@ -4,7 +4,8 @@ Block matrix join in two levels. Groups come from spherical k-means on a sample,
 block that one task holds, and is cut into cells of a constant size by k-means again. Each block is first joined with itself, which gives
 every vector k neighbours and a lower bound; then each vector is sent, as int8, to the blocks of its nearest groups that may hold
 something better. Inside a block a vector meets the rows of its nearest cells: the products of int8 tiles give similarities with a bound
-of the quantisation error, pairs that survive the bound are recomputed in float, and heaps merge the results. A vector is compared with
+of the quantisation error; pairs that survive are narrowed down with four more bits of the query and the float row, then recomputed in
+float, and heaps merge the results. A vector is compared with
 some thousand rows and some square root of all rows in centres, whatever the number of rows.
 """
 
@@ -68,6 +69,23 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale.astype(np.float32), np.linalg.norm(x - q * scale[:, None], axis=1).astype(np.float32)
 
 
+def finer(x: np.ndarray, q: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Four more bits of each value (rows of dim / 2 bytes, an odd last value alone), and the length of the error that is left."""
+    more = np.rint((x / scale[:, None] - q) * 15).astype(np.int8)
+    left = np.linalg.norm(x - refined(q, more, scale), axis=1).astype(np.float32)
+    nibble = (more + 8).astype(np.uint8)
+    nibble = np.pad(nibble, ((0, 0), (0, nibble.shape[1] % 2)))
+    return nibble[:, ::2] << 4 | nibble[:, 1::2], left
+
+
+def refined(q: np.ndarray, more: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return (q + more / np.float32(15)) * scale[:, None]
+
+
+def unpacked(nibble: np.ndarray, dim: int) -> np.ndarray:
+    return np.stack((nibble >> 4, nibble & 15), axis=2).reshape(len(nibble), -1)[:, :dim].astype(np.int8) - 8
+
+
 def _best(sims: np.ndarray, k: int) -> np.ndarray:
     k = min(k, sims.shape[1])
     return np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.broadcast_to(np.arange(k), (len(sims), k))
@@ -164,13 +182,13 @@ def _first(one: np.ndarray, sims: np.ndarray, names: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
-def closer(q: np.ndarray, scale: np.ndarray, error: np.ndarray, floor: np.ndarray, x: np.ndarray, one: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
-    """Which surviving pairs survive the bound of the query's error alone: the rows of a block are there in float."""
-    sims = np.concatenate([np.einsum("ij,ij->i", q[one[i : i + 65536]] * scale[one[i : i + 65536], None], x[row[i : i + 65536]]) for i in range(0, len(one), 65536)]) if len(one) else np.zeros(0, np.float32)
+def closer(y: np.ndarray, error: np.ndarray, floor: np.ndarray, x: np.ndarray, one: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """Which surviving pairs survive the error of the finer query y alone: the rows x of a block are there in float."""
+    sims = np.concatenate([np.einsum("ij,ij->i", y[one[i : i + 65536]], x[row[i : i + 65536]]) for i in range(0, len(one), 65536)]) if len(one) else np.zeros(0, np.float32)
     bar = floor.astype(np.float32).copy()
     best = _first(one, sims, row, k)
-    enough = np.bincount(one[best], minlength=len(q)) >= k
-    least = np.full(len(q), 2, np.float32)
+    enough = np.bincount(one[best], minlength=len(y)) >= k
+    least = np.full(len(y), 2, np.float32)
     np.minimum.at(least, one[best], (sims - error[one] - 1e-6)[best])
     bar[enough] = np.maximum(bar, least)[enough]
     return np.flatnonzero(sims + error[one] + 1e-6 >= bar[one])
@@ -260,10 +278,12 @@ def neighbours(df: DataFrame, key: str = "id", vector: str = "embedding", dim: i
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q, scale, error = quantise(_matrix(b.column("v"), dim))
+            x = _matrix(b.column("v"), dim)
+            q, scale, error = quantise(x)
+            more, left = finer(x, q, scale)
             sims = b.column("sims").to_pylist()
             floor = np.array([min(s) if len(s) >= k else -1.0 for s in sims], np.float32)
-            ask = np.concatenate((q.view(np.uint8), np.stack((scale, error, floor), axis=1).astype(np.float32).view(np.uint8)), axis=1)
+            ask = np.concatenate((q.view(np.uint8), more, np.stack((scale, error, left, floor), axis=1).astype(np.float32).view(np.uint8)), axis=1)
             yield pa.RecordBatch.from_arrays([b.column("n"), pa.array([r.tobytes() for r in ask], pa.binary()), b.column("search")], ["n", "ask", "search"])
 
     home = materialise(placed.groupBy("block").applyInArrow(own, "n bigint, id string, v array<float>, block int, lead boolean, near array<string>, sims array<float>, search array<int>"), "home")
@@ -295,10 +315,10 @@ def neighbours(df: DataFrame, key: str = "id", vector: str = "embedding", dim: i
                     rows = pa.Table.from_batches(held).combine_chunks()
                     x = _matrix(rows.column("v"), dim)
                     block = Block(x)
-                raw = np.frombuffer(b"".join(part.column("ask").to_pylist()), np.uint8).reshape(-1, dim + 12)
-                q, (scale, error, floor) = raw[:, :dim].view(np.int8), np.ascontiguousarray(raw[:, dim:]).view(np.float32).T
+                raw = np.frombuffer(b"".join(part.column("ask").to_pylist()), np.uint8).reshape(len(part), -1)
+                q, more, (scale, error, left, floor) = raw[:, :dim].view(np.int8), raw[:, dim:-16], np.ascontiguousarray(raw[:, -16:]).view(np.float32).T
                 one, row = block.search(q, scale, error, floor, k)
-                kept = closer(q, scale, error, floor, x, one, row, k)
+                kept = closer(refined(q, unpacked(more, dim), scale), left, floor, x, one, row, k)
                 one, row = one[kept], row[kept]
                 for at in range(0, len(one), 20_000):
                     there = rows.take(pa.array(row[at : at + 20_000])).combine_chunks()

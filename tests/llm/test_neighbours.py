@@ -97,3 +97,13 @@ def test_error_bound():
     q, scale, error = N.quantise(x)
     approx = (q.astype(float) @ q.T.astype(float)) * scale[:, None] * scale
     assert (np.abs(approx - x @ x.T) <= error[:, None] + error + error[:, None] * error + 1e-6).all()
+
+
+def test_finer_queries():
+    rng = np.random.default_rng(6)
+    for dim in (8, 9):
+        x = N._unit(rng.normal(size=(50, dim)).astype(np.float32))
+        q, scale, error = N.quantise(x)
+        more, left = N.finer(x, q, scale)
+        y = N.refined(q, N.unpacked(more, dim), scale)
+        assert np.allclose(np.linalg.norm(x - y, axis=1), left, atol=1e-6) and (left < error / 6).all()
