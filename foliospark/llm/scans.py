@@ -1,9 +1,10 @@
 """Noise in text from scanned pages (problem 3): furniture, words cut at line ends, misread characters.
 
-Over all pages the words are counted; frequent words form the vocabulary. Skip-gram vectors of its words come from all scanned pages:
-the skip-gram counts of a word (its neighbours within two places) projected to a few dimensions by random signs, which are sums and so
-are built in parallel. A rare word is linked to the frequent words that plausible glyph edits lead to; where there are several, the one
-whose vector fits the neighbours best is taken. Then running headers and page numbers go, cut words are joined, lines are reflowed.
+Over all pages the words are counted; frequent words form the vocabulary. Skip-gram vectors come from all scanned pages, for the words of
+the vocabulary and for the rare words that plausible glyph edits lead from to one of them: the skip-gram counts of a word (its neighbours
+within two places) projected to a few dimensions by random signs, which are sums and so are built in parallel. A rare word is linked to
+the frequent word whose vector is nearest to its own, if that is near enough; what is first made by joining or closing up is judged by its
+own neighbours on the page. Then running headers and page numbers go, cut words are joined, lines are reflowed.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.words import mix, words
+from foliospark.session import materialise
 
 SCANNED = ("ocr", "urdu_ocr", "unknown")
 #: A word is frequent if it stands in this share of the pages, and in so many at least. The share bounds the vocabulary: with w distinct
@@ -72,15 +74,15 @@ def headers(pages: DataFrame, meta: DataFrame | None = None, least_letters: int
 
 
 def page_headers(scanned: DataFrame, known: DataFrame) -> DataFrame:
-    """file_hash, page_id, headers (array of letter keys): the headers of the file that are among the lines of the page.
+    """file_hash, page_id, key (letters): the headers of the file that are among the lines of the page.
 
-    Lines meet headers in a join, so nothing grows with a file; rows that share file and page_id share one array.
+    Lines meet headers in a join, so nothing grows with a file.
     """
     there = scanned.filter(F.col("text").isNotNull() & F.col("file_hash").isNotNull())
-    bare = there.select("file_hash", "page_id", F.explode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1)).alias("line")).select("file_hash", "page_id", F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("line")).filter(F.length("line").between(1, 120))
+    bare = there.select("file_hash", "page_id", F.explode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1)).alias("line")).select("file_hash", "page_id", F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("line")).filter(F.length("line") > 0)
     forms = F.array_distinct(F.array("line", F.regexp_replace("line", f"(?U){_BESIDE}", ""), F.regexp_extract("line", f"(?U){_NAMED}", 1)))
     keyed = bare.select("file_hash", "page_id", F.explode(forms).alias("line")).select("file_hash", "page_id", _letters(F.col("line")).alias("key")).filter(F.length("key") > 0)
-    return keyed.join(known, ["file_hash", "key"]).groupBy("file_hash", "page_id").agg(F.collect_set("key").alias("headers"))
+    return keyed.join(known, ["file_hash", "key"])
 
 
 # -- vocabulary and vectors --------------------------------------------------------------------------------------------------------
@@ -96,8 +98,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pair = np.unique(mix(w.hash) ^ mix(w.row.astype(np.uint64)), return_index=True)[1]  # one of each word and page
             hashed, at, back, count = np.unique(w.hash[pair], return_index=True, return_inverse=True, return_counts=True)
             scans = np.bincount(back, scan[w.row[pair]], len(hashed)).astype(np.int64)
-            keep = np.flatnonzero((w.end - w.start)[pair[at]] <= 40)
-            yield pa.RecordBatch.from_arrays([pa.array([w.text(k) for k in pair[at[keep]]], pa.string()), pa.array(count[keep]), pa.array(scans[keep])], ["word", "pages", "scans"])
+            yield pa.RecordBatch.from_arrays([pa.array([w.text(k) for k in pair[at]], pa.string()), pa.array(count), pa.array(scans)], ["word", "pages", "scans"])
 
 
 def vocabulary(pages: DataFrame) -> dict[str, int]:
@@ -121,47 +122,101 @@ def _signs(hashed: np.ndarray) -> np.ndarray:
     return (((mix(hashed)[:, None] >> np.arange(DIM, dtype=np.uint64)) & np.uint64(1)).astype(np.float32) * 2 - 1)
 
 
-def vectors(pages: DataFrame, vocab: list[str]) -> np.ndarray:
-    """Skip-gram vectors (words x DIM, unit length) of the vocabulary, from every scanned page."""
-    spark = pages.sparkSession
+def _hashes(vocab: list[str]) -> np.ndarray:
     known = words(pa.array(vocab, pa.string()))
     whole = np.zeros(len(vocab), np.uint64)
     whole[known.row] = known.hash
-    order = np.argsort(whole)
-    sent = spark.sparkContext.broadcast((whole[order], order))
+    return whole
+
+
+def contexts(pages: DataFrame, vocab: list[str], counts: list[int]) -> DataFrame:
+    """What every scanned page says of words, batch by batch: word, place in the vocabulary (or null for a rare word with candidates),
+    v (sum of the signs of its neighbours), n (how many), and for rare words the pages they stand on (file_hash, page_id)."""
+    sent = pages.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, vocab, counts, np.zeros((len(vocab), DIM), np.float32)))  # bounded by SHARE
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, place = sent.value
-        acc = np.zeros((len(hashes), DIM), np.float32)
-        signs = _signs(hashes)
+        reader = _readers(sent)
+        order = np.argsort(reader.hashes)
+        hashes, signs = reader.hashes[order], reader.signs[order]
+        acc, seen = np.zeros((len(hashes), DIM), np.float32), np.zeros(len(hashes), np.int64)
+        at_type = None
         for batch in batches:
+            at_type = batch.schema.field("page_id").type
             for i in range(0, batch.num_rows, 2000):
-                w = words(batch.column("text").slice(i, 2000))
-                at = np.searchsorted(hashes, w.hash)
-                at[at == len(hashes)] = 0
-                ident = np.where(hashes[at] == w.hash, at, -1) if len(hashes) else np.full(len(w.hash), -1)
-                pairs = []
+                part = batch.slice(i, 2000)
+                w = words(part.column("text"))
+                if not len(hashes) or not len(w.hash):
+                    continue
+                at = np.minimum(np.searchsorted(hashes, w.hash), len(hashes) - 1)
+                ident = np.where(hashes[at] == w.hash, at, -1)
+                sure = np.concatenate((signs, np.zeros((1, DIM), np.float32)))[ident]
+                near, number = np.zeros((len(ident), DIM), np.float32), np.zeros(len(ident), np.int64)
                 for d in range(1, WINDOW + 1):
-                    ok = (w.row[d:] == w.row[:-d]) & (ident[d:] >= 0) & (ident[:-d] >= 0)
-                    a, b = ident[:-d][ok], ident[d:][ok]
-                    pairs += [a * len(hashes) + b, b * len(hashes) + a]
-                both, count = np.unique(np.concatenate(pairs), return_counts=True)
-                if len(both):
-                    a, b = both // len(hashes), both % len(hashes)
-                    begins = np.flatnonzero(np.diff(a, prepend=-1))
-                    acc[a[begins]] += np.add.reduceat(signs[b] * count[:, None], begins, axis=0)
-        used = np.flatnonzero(np.abs(acc).sum(axis=1) > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(place[used]), pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * DIM, pa.int32()), pa.array(acc[used].ravel()))], ["place", "v"])
-
-    scanned = pages.filter(F.col("source_type").isin(*SCANNED) & F.col("text").isNotNull()).select("text")
-    partial = scanned.mapInArrow(sums, "place bigint, v array<float>")
-    total = partial.groupBy("place").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(DIM)]).alias("v"))
-    out = np.zeros((len(vocab), DIM), np.float32)
-    for r in total.collect():  # bounded by the vocabulary
-        out[r["place"]] = r["v"]
+                    same = w.row[d:] == w.row[:-d]
+                    near[:-d] += sure[d:] * same[:, None]
+                    near[d:] += sure[:-d] * same[:, None]
+                    number[:-d] += same & (ident[d:] >= 0)
+                    number[d:] += same & (ident[:-d] >= 0)
+                known = np.flatnonzero(ident >= 0)
+                known = known[np.argsort(ident[known], kind="stable")]
+                begins = np.flatnonzero(np.diff(ident[known], prepend=-1))
+                if len(known):
+                    acc[ident[known[begins]]] += np.add.reduceat(near[known], begins, axis=0)
+                    seen[ident[known[begins]]] += np.add.reduceat(number[known], begins)
+                rare = np.flatnonzero(ident < 0)
+                kinds, first, back = np.unique(w.hash[rare], return_index=True, return_inverse=True)
+                texts = [w.text(rare[f]) for f in first]
+                keep = np.array([not t.isdigit() and bool(reader.candidates(t)) for t in texts], bool)
+                if not keep.any():
+                    continue
+                order_of = np.argsort(back, kind="stable")
+                begins = np.flatnonzero(np.diff(back[order_of], prepend=-1))
+                v, n = np.add.reduceat(near[rare[order_of]], begins, axis=0)[keep], np.add.reduceat(number[rare[order_of]], begins)[keep]
+                pages_of = [np.unique(w.row[rare[x]]) for x, k in zip(np.split(order_of, begins[1:]), keep, strict=True) if k]
+                flat = pa.array(np.concatenate(pages_of))
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in pages_of]))), pa.int32())
+                there = pa.StructArray.from_arrays([part.column("file_hash").take(flat), part.column("page_id").take(flat)], ["file_hash", "page_id"])
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, k in zip(texts, keep, strict=True) if k]), pa.nulls(len(v), pa.int64()), _vector_lists(v), pa.array(n), pa.ListArray.from_arrays(ends, there)], ["word", "place", "v", "n", "pages"])
+        used = np.flatnonzero(seen > 0)
+        if len(used):
+            kind = pa.list_(pa.struct([("file_hash", pa.string()), ("page_id", at_type)]))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.string()), pa.array(order[used]), _vector_lists(acc[used]), pa.array(seen[used]), pa.nulls(len(used), kind)], ["word", "place", "v", "n", "pages"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    scanned = pages.filter(F.col("source_type").isin(*SCANNED) & F.col("text").isNotNull()).select(F.col("file_hash").cast("string").alias("file_hash"), "page_id", "text")
+    return scanned.mapInArrow(sums, f"word string, place bigint, v array<float>, n bigint, pages array<struct<file_hash: string, page_id: {kind}>>")
+
+
+def _vector_lists(v: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * DIM, pa.int32()), pa.array(np.ascontiguousarray(v, np.float32).ravel()))
+
+
+def _summed(rows: DataFrame, by: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.array(*[F.sum(F.col("v")[i]).cast("float") for i in range(DIM)]).alias("v"), F.sum("n").alias("n"))
+
+
+def vectors(said: DataFrame, size: int) -> np.ndarray:
+    """Skip-gram vectors (words x DIM, unit length) of the vocabulary."""
+    out = np.zeros((size, DIM), np.float32)
+    got = _summed(said.filter(F.col("place").isNotNull()), "place").toArrow()  # bounded by the vocabulary
+    out[got.column("place").to_numpy()] = np.asarray(got.column("v").combine_chunks().flatten()).reshape(-1, DIM)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def links(said: DataFrame, sent) -> DataFrame:
+    """word, target, near (cosine of the vectors) of each rare word: the candidate whose vector is nearest to its own."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _readers(sent)
+        for b in batches:
+            rare = b.column("word").to_pylist()
+            v = np.asarray(b.column("v").flatten()).reshape(-1, DIM)
+            best = [reader.nearest(reader.candidates(w), x) for w, x in zip(rare, v, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array([t for t, _ in best], pa.string()), pa.array([n for _, n in best], pa.float32())], ["word", "target", "near"])
+
+    return _summed(said.filter(F.col("word").isNotNull()), "word").select("word", "v").mapInArrow(link, "word string, target string, near float")
+
+
 # -- one page ----------------------------------------------------------------------------------------------------------------------
 
 _NUMBER_LINE = re.compile(r"(?i)^\W*(?:(?:page|pg|p|seite|s|página|pagina|pág|صفحہ|صفحة|ص)\.?\s*)?(\d{1,6})(?:\s*(?:of|/|von|de|sur|سے|من)\s*\d{1,6})?(?:\s*\|\s*p\s*a\s*g\s*e)?\W*$")
@@ -182,7 +237,7 @@ def roman(text: str) -> int:
 
 def is_page_number(line: str, page: int | None) -> bool:
     line = line.strip()
-    if not line or len(line) > 40:
+    if not line:
         return False
     if m := _NUMBER_LINE.match(line):
         return bool(_MARKED.search(line)) or (page is not None and int(m.group(1)) == page)
@@ -204,6 +259,13 @@ def is_numbered_header(line: str, page: int | None) -> bool:
     return bool(m) and page is not None and int(m["a"] or m["b"]) == page
 
 
+#: How near the vector of a rare word, or of its neighbours on a page, must be to that of the word it is taken for: a letter among digits
+#: or signs is damage as such; letters for letters need the vectors' word for it, and a word that is not far more frequent needs more.
+NEAR_MIXED, NEAR_LETTERS, NEAR_NAMES = -0.5, 0.05, 0.3
+#: Edits that scans make by far the most often. Fixed values.
+USUAL = (("c", "e"), ("rn", "m"), ("li", "h"), ("l", "i"), ("i", "l"))
+
+
 class Reader:
     """The repair of single pages with one vocabulary and its vectors."""
 
@@ -212,65 +274,72 @@ class Reader:
         self.count = counts
         self.most = max(counts, default=1)
         self.vecs = vecs
-        known = words(pa.array(vocab, pa.string()))
-        whole = np.zeros(len(vocab), np.uint64)
-        whole[known.row] = known.hash
-        self.signs = _signs(whole)
+        self.hashes = _hashes(vocab)
+        self.signs = _signs(self.hashes)
+        self.heads = {w[:i] for w in vocab for i in range(len(w) + 1)}
+        self.edits: dict[str, list[tuple[str, str]]] = {}
+        for bad, good in GLYPHS:
+            self.edits.setdefault(bad[0], []).append((bad, good))
         self.candidates = lru_cache(1 << 17)(self._candidates)
 
+    def _walk(self, word: str, edits: int, mixed: bool) -> set[str]:
+        """Words of the vocabulary that so many glyph edits lead to, along the beginnings of its words. Of two edits in letters one at least
+        is a usual one."""
+        out, todo = set(), [(0, "", 0, False)]
+        while todo:
+            at, head, used, usual = todo.pop()
+            if at == len(word):
+                if used and head in self.place and (mixed or used < 2 or usual):
+                    out.add(head)
+                continue
+            if head + word[at] in self.heads:
+                todo.append((at + 1, head + word[at], used, usual))
+            if used < edits:
+                for bad, good in self.edits.get(word[at], ()):
+                    if word.startswith(bad, at) and head + good in self.heads:
+                        todo.append((at + len(bad), head + good, used + 1, usual or (bad, good) in USUAL))
+        return out
+
     def _candidates(self, word: str) -> tuple[str, ...]:
-        """Frequent words that one or two glyph edits lead to from a rare word."""
+        """Frequent words that the fewest glyph edits lead to from a rare word: one, or two in a long one; a digit or sign each takes one more."""
         low = word.lower()
         mixed = bool(_MIXED.search(low))
         if len(low) < 3 or (not mixed and len(low) < 4):
             return ()
-        seen, layer = {low}, {low}
-        for depth in range(3 if mixed else 2 if len(low) >= 8 and low == word else 1):
-            found, after = [], set()
-            for x in layer:
-                for bad, good in GLYPHS:
-                    if depth and not mixed and (bad, good) not in (("c", "e"), ("rn", "m"), ("li", "h"), ("l", "i"), ("i", "l")):
-                        continue
-                    at = x.find(bad)
-                    while at >= 0:
-                        y = x[:at] + good + x[at + len(bad) :]
-                        if y not in seen:
-                            seen.add(y)
-                            after.add(y)
-                            if y in self.place:
-                                found.append(y)
-                        at = x.find(bad, at + 1)
-            if found:
+        most = sum(not c.isalpha() for c in low) + 1 if mixed else 2 if len(low) >= 8 and low == word else 1
+        for edits in range(1, most + 1):
+            if found := self._walk(low, edits, mixed):
                 return tuple(sorted(found, key=lambda y: (-self.count[self.place[y]], y)))
-            layer = after
-            if len(layer) > 400:
-                break
         return ()
 
-    def correct(self, word: str, around: list[str]) -> str | None:
+    def nearest(self, options: tuple[str, ...], v: np.ndarray) -> tuple[str | None, float]:
+        """The option whose vector is nearest to v, and the cosine; without known neighbours the most frequent one, just near enough."""
+        if not options or not v.any():
+            return (options[0] if options else None), NEAR_LETTERS
+        near = self.vecs[[self.place[o] for o in options]] @ (v / max(float(np.linalg.norm(v)), 1e-9))
+        k = int(np.argmax(near))
+        return options[k], float(near[k])
+
+    def correct(self, word: str, around: list[str], known: dict | None = None) -> str | None:
         """The frequent word that a rare word was misread from, or None."""
         low = word.lower()
         if low in self.place:
             return None
-        options = self.candidates(word)
-        if not options:
+        if known and low in known:
+            target, near = known[low]
+        else:
+            context = [self.place[a] for a in around if a in self.place]
+            target, near = self.nearest(self.candidates(word), self.signs[context].sum(axis=0) if context else np.zeros(DIM, np.float32))
+        if target is None:
             return None
-        if not _MIXED.search(word):
-            # letters for letters: capitalised words may be names of their own, so only by far more frequent words count
-            bar = 4 if word[:1].isupper() else 1
-            options = tuple(o for o in options if self.count[self.place[o]] >= bar * max(LEAST, 2e-3 * self.most))
-            if not options:
-                return None
-        if len(options) == 1:
-            return options[0]
-        context = [self.place[a] for a in around if a in self.place]
-        if not context:
-            return options[0]
-        v = self.signs[context].sum(axis=0)
-        return max(options, key=lambda o: (float(self.vecs[self.place[o]] @ v), o))
-
-    def read(self, text: str, page: int | None, headers: frozenset[str]) -> tuple[str, set[str]]:
-        """The page as paragraphs, and the kinds of damage found."""
+        if _MIXED.search(word):
+            return target if near >= NEAR_MIXED else None
+        # capitalised words may be names of their own, so only by far more frequent words count, or those in the very same places
+        bar = 4 if word[:1].isupper() else 1
+        return target if near >= (NEAR_LETTERS if self.count[self.place[target]] >= bar * max(LEAST, 2e-3 * self.most) else NEAR_NAMES) else None
+
+    def read(self, text: str, page: int | None, headers: frozenset[str], known: dict | None = None) -> tuple[str, set[str]]:
+        """The page as paragraphs, and the kinds of damage found; known holds what its rare words are linked to."""
         kinds: set[str] = set()
         kept = []
         lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
@@ -289,12 +358,12 @@ class Reader:
             text = new
         if _SPACED.search(text):
             text = _SPACED.sub(lambda m: self.closed(m, kinds), text)
-        text = self.corrected(text, kinds)
+        text = self.corrected(text, kinds, known)
         paragraphs = [re.sub(r"\s+", " ", p).strip() for p in re.split(r"\n\s*\n", text)]
         return "\n\n".join(p for p in paragraphs if p), kinds
 
     def is_header(self, line: str, headers: frozenset[str]) -> bool:
-        if not headers or len(line) > 120:
+        if not headers:
             return False
         key = letters(line)
         if key in headers:
@@ -325,21 +394,22 @@ class Reader:
             return word
         return m.group()
 
-    def corrected(self, text: str, kinds: set[str]) -> str:
+    def corrected(self, text: str, kinds: set[str], known: dict | None = None) -> str:
         place = self.place
         rare = {w for w in _TOKEN.findall(text) if w.lower() not in place and not w.isdigit()}
-        rare = {w for w in rare if _MIXED.search(w) or self.candidates(w)}
+        rare = {w for w in rare if _MIXED.search(w) or known and w.lower() in known or self.candidates(w)}
         if not rare:
             return text
-        low = None
+        found = list(_TOKEN.finditer(text))
+        place_of = {m.start(): i for i, m in enumerate(found)}
 
         def fix(m: re.Match) -> str:
-            nonlocal low
             w = m.group()
             if w not in rare:
                 return w
-            near = [x.lower() for x in _TOKEN.findall(text[max(0, m.start() - 40) : m.start()])[-WINDOW:] + _TOKEN.findall(text[m.end() : m.end() + 40])[:WINDOW]]
-            new = self.correct(w, near)
+            i = place_of[m.start()]
+            near = [x.group().lower() for x in found[max(0, i - WINDOW) : i] + found[i + 1 : i + 1 + WINDOW]]
+            new = self.correct(w, near, known)
             if new is None:
                 if not re.search(r"[a-zà-ÿ][0-9|!][a-zà-ÿ]", w):
                     return w
@@ -367,17 +437,20 @@ def repaired(pages: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     spark = pages.sparkSession
     counts = vocabulary(pages)
     vocab = sorted(counts)
-    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, vocab, [counts[w] for w in vocab], vectors(pages, vocab)))  # bounded by SHARE
+    said = materialise(contexts(pages, vocab, [counts[w] for w in vocab]), "contexts")
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, vocab, [counts[w] for w in vocab], vectors(said, len(vocab))))  # bounded by SHARE
     scanned = pages.filter(F.col("source_type").isin(*SCANNED)).select("page_id", "file_hash", "page_number", "text")
-    own = page_headers(scanned, headers(pages, meta)).withColumnsRenamed({"file_hash": "of_file", "page_id": "of_page"})
-    rows = scanned.join(own, (F.col("file_hash") == F.col("of_file")) & F.col("page_id").eqNullSafe(F.col("of_page")), "left").select("page_id", "page_number", "text", "headers")
+    linked = said.filter(F.col("word").isNotNull()).select("word", F.explode("pages").alias("p")).join(links(said, sent), "word").select("p.file_hash", "p.page_id", F.lit(None).cast("string").alias("key"), F.struct("word", "target", "near").alias("link"))
+    lines = page_headers(scanned, headers(pages, meta)).select(F.col("file_hash").cast("string").alias("file_hash"), "page_id", "key", F.lit(None).cast("struct<word: string, target: string, near: float>").alias("link"))
+    own = lines.unionByName(linked).groupBy(F.col("file_hash").alias("of_file"), F.col("page_id").alias("of_page")).agg(F.collect_set("key").alias("headers"), F.collect_set("link").alias("links"))
+    rows = scanned.join(own, F.col("file_hash").eqNullSafe(F.col("of_file")) & F.col("page_id").eqNullSafe(F.col("of_page")), "left").select("page_id", "page_number", "text", "headers", "links")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _readers(sent)
         for b in batches:
             texts, kinds = [], []
-            for t, n, h in zip(b.column("text").to_pylist(), b.column("page_number").to_pylist(), b.column("headers").to_pylist(), strict=True):
-                new, found = (None, set()) if t is None else reader.read(t, n, frozenset(h or ()))
+            for t, n, h, k in zip(*(b.column(c).to_pylist() for c in ("text", "page_number", "headers", "links")), strict=True):
+                new, found = (None, set()) if t is None else reader.read(t, n, frozenset(h or ()), {x["word"]: (x["target"], x["near"]) for x in k or ()})
                 texts.append(new), kinds.append(sorted(found))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))], ["page_id", "text", "kinds"])
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from foliospark.llm import scans as S
 
 WORDS = "committee approved drainage survey before quarter returned invoices register evacuation district previous meeting schedule pre and post".split()
@@ -45,8 +47,6 @@ def test_empty(spark):
 
 
 def test_context_chooses_between_candidates():
-    import numpy as np
-
     reader = S.Reader(["clay", "day", "pot", "night"], [50, 50, 50, 50], np.zeros((4, S.DIM), np.float32))
     reader.vecs[0], reader.vecs[1] = reader.signs[2], reader.signs[3]
     reader.candidates = lambda w: ("clay", "day") if w == "c1ay" else ()
@@ -91,3 +91,28 @@ def test_header_of_few_pages_in_a_large_file(spark):
     df = spark.createDataFrame(rows, "page_id bigint, file_hash string, page_number int, text string, source_type string")
     got = S.repaired(df).collect()
     assert len(got) == 402 and sorted(str(r["page_id"]) for r in got if r["kinds"]) == ["0", "1", "2", "3", "4", "5", "6", "7", "None"]
+
+
+def test_vectors_decide_what_is_corrected(spark, monkeypatch):
+    """The same rare form is corrected where its neighbours are those of the frequent word, and left alone where they are not."""
+    rng = random.Random(7)
+    port, farm = "ship quay mole tide crane anchor".split(), "wheat barn plough sheep meadow tractor".split()
+    rows = []
+    for i in range(120):
+        a, b = (port, "harbour") if i % 2 else (farm, "orchard")
+        rows.append((i, f"f{i}", 1, " ".join(f"{rng.choice(a)} {b} {rng.choice(a)}" for _ in range(12)), "digital" if i % 3 else "ocr"))
+    rows += [(200, "x", 1, "tide harhour quay and ship", "ocr"), (201, "x", 2, "sheep barbour wheat and barn", "ocr"), (202, "x", 3, "barn orehard sheep", "ocr")]
+    df = spark.createDataFrame(rows, "page_id bigint, file_hash string, page_number int, text string, source_type string")
+    read = lambda: {r["page_id"]: r["text"] for r in S.repaired(df).filter("page_id >= 200").collect()}
+    assert read() == {200: "tide harbour quay and ship", 201: "sheep barbour wheat and barn", 202: "barn orchard sheep"}
+    real = S.vectors
+    monkeypatch.setattr(S, "vectors", lambda said, size: 0 * real(said, size))
+    assert read() == {200: "tide harhour quay and ship", 201: "sheep barbour wheat and barn", 202: "barn orehard sheep"}
+
+
+def test_candidates_of_long_and_badly_damaged_words():
+    long = "immunization" * 6
+    reader = S.Reader(["collaboration", "section", long], [9, 9, 9], np.zeros((3, S.DIM), np.float32))
+    assert reader.candidates("c0l1ab0rat10n") == ("collaboration",)
+    assert reader.candidates(long.replace("o", "0")) == (long,)
+    assert reader.candidates("sectíon") == ("section",) and reader.candidates("1" * 400) == () == reader.candidates("ill" * 400)
