@@ -26,11 +26,11 @@ def p1_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return boilerplate.found_lines(_rows(spark, folder, "pages"))
+    return boilerplate.found_lines(_rows(spark, folder, "pages")).select("page_id", "line_no")
 
 
 def p2_text(spark: SparkSession, folder: str) -> DataFrame:
-    return boilerplate.strip_lines(_rows(spark, folder, "pages"))
+    return boilerplate.strip_lines(_rows(spark, folder, "pages")).select("page_id", "text", "removed")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
