@@ -8,6 +8,7 @@ labels, code switches included, for the second. Runs of a language that are too
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +27,9 @@ SPELLINGS = {
     "eng": "en", "english": "en", "deu": "de", "ger": "de", "german": "de", "deutsch": "de", "fra": "fr", "fre": "fr", "french": "fr", "français": "fr",
     "spa": "es", "spanish": "es", "español": "es", "por": "pt", "portuguese": "pt", "português": "pt", "urd": "ur", "urdu": "ur", "اردو": "ur", "ara": "ar", "arabic": "ar", "العربية": "ar",
 }
-#: Labelled pages of each language that the model is trained on, at most; words of a page used in training.
-PER_LANGUAGE, TRAIN_WORDS = 300, 300
+#: Labelled pages of each language that the model is trained on, at most, and characters of such a page: longer ones are not drawn, which
+#: bounds what comes to the driver.
+PER_LANGUAGE, TRAIN_CHARS = 300, 20_000
 BUCKETS = 1 << 16
 #: Step of the gradient method: a word has some 25 features, which all move at once.
 RATE = 0.05
@@ -112,7 +114,7 @@ class Model:
                 if p == len(self.rows):
                     self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
                 if any(c.isalpha() for c in text):
-                    self.rows[p] = self.weights[features(text[:40])].sum(axis=0)
+                    self.rows[p] = self.weights[features(text)].sum(axis=0)
                 else:
                     self.rows[p] = 0
                 self.known[h] = p
@@ -151,7 +153,7 @@ def fit(w: Words, labels: np.ndarray, known: np.ndarray, rounds: int, trans: np.
     learn_trans = weights is not None
     n = len(LANGUAGES)
     kinds, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
-    lists = [features(w.text(i)[:40]) if any(c.isalpha() for c in w.text(i)) else [] for i in at]
+    lists = [features(w.text(i)) if any(c.isalpha() for c in w.text(i)) else [] for i in at]
     size = np.array([len(x) for x in lists])
     flat = np.array([f for x in lists for f in x], np.int64)
     owner = np.repeat(np.arange(len(kinds)), size)
@@ -209,35 +211,52 @@ def train(texts: pa.Array, labels: np.ndarray) -> Model:
 
 
 def training_pages(pages: DataFrame, labels: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """text, lang: up to per_language pages of each language whose labels don't contradict each other, chosen by the hash of the key."""
+    """text, lang: up to per_language pages of each language whose labels don't contradict each other, chosen by the hash of the key,
+    without those over TRAIN_CHARS."""
     coded = labels.select("page_id", language_code(F.col("lang")).alias("lang")).filter(F.col("lang").isNotNull() & F.col("page_id").isNotNull())
     agreed = coded.groupBy("page_id").agg(F.min("lang").alias("lang"), F.max("lang").alias("other")).filter(F.col("lang") == F.col("other"))
     ranked = agreed.select("page_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("page_id"), "page_id")).alias("n")).filter(F.col("n") <= per_language)
     chosen = F.broadcast(ranked.select("page_id", "lang"))  # at most per_language rows of each language
-    return pages.select("page_id", "text").join(chosen, "page_id").filter(F.length("text") > 20).select("text", "lang")
+    return pages.select("page_id", "text").join(chosen, "page_id").filter(F.length("text").between(21, TRAIN_CHARS)).select("text", "lang")
 
 
 def _runs(labels: np.ndarray, letters: np.ndarray) -> list[tuple[int, int, int]]:
     """(first word, end, label) of the stretches of one text: runs with too few letters join the longer neighbour, shortest first."""
-    cut = np.flatnonzero(np.diff(labels)) + 1
-    runs = [[int(a), int(b), int(labels[a]), int(letters[a:b].sum())] for a, b in zip([0, *cut], [*cut, len(labels)], strict=True)]
-    # a run without letters of its own says nothing
-    while len(runs) > 1:
-        i = min(range(len(runs)), key=lambda k: runs[k][3])
-        if runs[i][3] >= LEAST_LETTERS:
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(labels)) + 1, [len(labels)]))
+    begin, end = cut[:-1].tolist(), cut[1:].tolist()
+    total = np.concatenate(([0], np.cumsum(letters)))
+    label, size = labels[cut[:-1]].tolist(), (total[cut[1:]] - total[cut[:-1]]).tolist()
+    n = len(begin)
+    before, after, live = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
+    heap = [(size[i], i) for i in range(n)]
+    heapq.heapify(heap)
+
+    def absorb(i: int, k: int) -> None:
+        """Run i becomes a part of its neighbour k."""
+        begin[k], end[k], size[k] = min(begin[i], begin[k]), max(end[i], end[k]), size[i] + size[k]
+        live[i] = False
+        x, y = before[i], after[i]
+        if x >= 0:
+            after[x] = y
+        if y >= 0:
+            before[y] = x
+
+    left = n
+    while left > 1 and heap:
+        letters_of, i = heapq.heappop(heap)
+        if not live[i] or letters_of != size[i]:
+            continue
+        if letters_of >= LEAST_LETTERS:
             break
-        beside = [k for k in (i - 1, i + 1) if 0 <= k < len(runs)]
-        k = max(beside, key=lambda k: runs[k][3])
-        runs[k] = [min(runs[i][0], runs[k][0]), max(runs[i][1], runs[k][1]), runs[k][2], runs[i][3] + runs[k][3]]
-        del runs[i]
-        merged = [runs[0]]
-        for r in runs[1:]:
-            if r[2] == merged[-1][2]:
-                merged[-1] = [merged[-1][0], r[1], r[2], merged[-1][3] + r[3]]
-            else:
-                merged.append(r)
-        runs = merged
-    return [(a, b, label) for a, b, label, _ in runs]
+        k = max((x for x in (before[i], after[i]) if x >= 0), key=lambda x: size[x])
+        absorb(i, k)
+        left -= 1
+        for x in (before[k], after[k]):  # the other side may be of the same language
+            if x >= 0 and label[x] == label[k]:
+                absorb(x, k)
+                left -= 1
+        heapq.heappush(heap, (size[k], k))
+    return sorted((begin[i], end[i], label[i]) for i in range(n) if live[i])
 
 
 def stretches(pages: DataFrame, labels: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
