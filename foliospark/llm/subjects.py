@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.words import mix, words
 
-#: Labelled documents that the classifiers are fitted on, at most; they are chosen by the hash of their key.
-TRAIN_DOCS = 1500
+#: Labelled documents that the classifiers are fitted on, at most, chosen by the hash of their key; and characters of such a document:
+#: longer ones are not drawn, which bounds what comes to the driver.
+TRAIN_DOCS, TRAIN_CHARS = 1500, 200_000
 BUCKETS = 1 << 17
 #: The beam of the search. The share of the paragraphs from which on an area counts is learned from the labels.
 BEAM = 16
@@ -254,7 +255,7 @@ def labelled(documents: DataFrame, labels: DataFrame, areas: list[str], most: in
     """doc_id, text, source, areas: up to most labelled documents, chosen by the hash of their key."""
     named = labels.select("doc_id", area_name(F.col("area")).alias("area")).filter(F.col("area").isin(*areas) & F.col("doc_id").isNotNull())
     chosen = named.groupBy("doc_id").agg(F.sort_array(F.collect_set("area")).alias("areas")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return documents.select("doc_id", "text", "source").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # at most so many rows
+    return documents.select("doc_id", "text", "source").filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id")  # at most so many rows
 
 
 def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
