@@ -48,6 +48,8 @@ _TAIL = r"(?:\s{2,}|\s*\.{3,}\s*|\s*\|\s*|\s+[-–—]\s+)(?:\p{L}{1,2}-|(?i:pag
 #: What may stand beside a header, and a header after the name of an author, who need not be the one in file_meta. Fixed values.
 _BESIDE = r"(?:\s*\|\s*|\s+)[^\W\d_]{1,12}-?\.?\s*\d+\s*$|^\s*(?:p|pg|page)\.?\s*\d+\s+"
 _NAMED = r"^(?:[A-ZÀ-ÖØ-Þ][\w'’.-]*\s+){1,3}[A-ZÀ-ÖØ-Þ][\w'’.-]*\s*:\s*(\S.+)$"
+#: Letters that an author's name or a page number may add to a header, at most.
+BESIDE_LETTERS = 60
 
 
 def headers(pages: DataFrame, meta: DataFrame | None = None, least_letters: int = 8) -> DataFrame:
@@ -78,11 +80,13 @@ def page_headers(scanned: DataFrame, known: DataFrame) -> DataFrame:
 
     Lines meet headers in a join, so nothing grows with a file.
     """
+    longest = known.agg(F.max(F.length("key"))).first()[0] or 0
     there = scanned.filter(F.col("text").isNotNull() & F.col("file_hash").isNotNull())
-    bare = there.select("file_hash", "page_id", F.explode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1)).alias("line")).select("file_hash", "page_id", F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("line")).filter(F.length("line") > 0)
-    forms = F.array_distinct(F.array("line", F.regexp_replace("line", f"(?U){_BESIDE}", ""), F.regexp_extract("line", f"(?U){_NAMED}", 1)))
-    keyed = bare.select("file_hash", "page_id", F.explode(forms).alias("line")).select("file_hash", "page_id", _letters(F.col("line")).alias("key")).filter(F.length("key") > 0)
-    return keyed.join(known, ["file_hash", "key"])
+    lines = there.select("file_hash", "page_id", F.explode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1)).alias("line"))
+    # a header has no more letters than the longest one that is known, and what may stand beside it
+    short = lines.withColumn("key", _letters(F.col("line"))).filter(F.length("key").between(1, longest + BESIDE_LETTERS)).withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
+    forms = F.array_distinct(F.array("key", _letters(F.regexp_replace("line", f"(?U){_BESIDE}", "")), _letters(F.regexp_extract("line", f"(?U){_NAMED}", 1))))
+    return short.select("file_hash", "page_id", F.explode(forms).alias("key")).filter(F.length("key") > 0).join(known, ["file_hash", "key"])
 
 
 # -- vocabulary and vectors --------------------------------------------------------------------------------------------------------
@@ -441,7 +445,7 @@ def repaired(pages: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, vocab, [counts[w] for w in vocab], vectors(said, len(vocab))))  # bounded by SHARE
     scanned = pages.filter(F.col("source_type").isin(*SCANNED)).select("page_id", "file_hash", "page_number", "text")
     linked = said.filter(F.col("word").isNotNull()).select("word", F.explode("pages").alias("p")).join(links(said, sent), "word").select("p.file_hash", "p.page_id", F.lit(None).cast("string").alias("key"), F.struct("word", "target", "near").alias("link"))
-    lines = page_headers(scanned, headers(pages, meta)).select(F.col("file_hash").cast("string").alias("file_hash"), "page_id", "key", F.lit(None).cast("struct<word: string, target: string, near: float>").alias("link"))
+    lines = page_headers(scanned, materialise(headers(pages, meta), "headers")).select(F.col("file_hash").cast("string").alias("file_hash"), "page_id", "key", F.lit(None).cast("struct<word: string, target: string, near: float>").alias("link"))
     own = lines.unionByName(linked).groupBy(F.col("file_hash").alias("of_file"), F.col("page_id").alias("of_page")).agg(F.collect_set("key").alias("headers"), F.collect_set("link").alias("links"))
     rows = scanned.join(own, F.col("file_hash").eqNullSafe(F.col("of_file")) & F.col("page_id").eqNullSafe(F.col("of_page")), "left").select("page_id", "page_number", "text", "headers", "links")
 
