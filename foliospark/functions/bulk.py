@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.functions import cleaning as C
+from foliospark.functions import encoding
 
 
 @cache
@@ -42,20 +42,38 @@ def _letters(text: str) -> str:
 
 
 @cache
-def steps() -> dict[str, list[Callable[[str], str]]]:
-    """The chains by source type, encoding step included."""
-    encode = [lambda t: unicodedata.normalize("NFKC", t), _sub(C.PRIVATE_USE, " ")]
-    breaks = [_sub(C.LONE_BREAK, " "), _sub(C.MANY_BREAKS, "\n\n")]
-    numbers = [_sub(C.NUMBER_DOT, "$1.$2"), _sub(C.NUMBER_DASH, "$1-$2"), _sub(C.NUMBER_PERCENT, "$1%")]
-    ends = [_sub(C.BLANKS, " "), str.strip]
+def single() -> dict[str, list[Callable[[str], str]]]:
+    """Every cleaning step by the name it has in cleaning, as functions of Python."""
     alnum = _compiled(C.ALNUM)
     return {
-        "digital": [*encode, _sub(C.HYPHENATION, "$1$2"), *(_sub(p) for p in C.HEADER_FOOTERS), _sub(C.PAGE_LABEL), _sub(C.RULES, " "), _sub(C.STRUCTURAL), *breaks, _keep_lines(lambda x: len(x.strip()) >= 2), _paragraphs, *numbers, *ends],
-        "ocr": [*encode, _sub(C.HYPHENATION, "$1$2"), _letters, _sub(C.ZERO_AS_O, "O"), _sub(C.ONE_AS_L, "l"), _keep_lines(lambda x: len(x.strip()) >= 2 and bool(alnum.search(x))), *breaks, *numbers, *ends],
-        "urdu_ocr": [*encode, _sub(C.URDU_MARKS), lambda t: re.sub(r"\s+", " ", t)],
+        "fix_mojibake": [lambda t: encoding.fixer()(t)],
+        "nfkc": [encoding.nfkc],
+        "private_use_to_space": [_sub(C.PRIVATE_USE, " ")],
+        "clean_encoding": [lambda t: encoding.nfkc(encoding.fixer()(t)), _sub(C.PRIVATE_USE, " ")],
+        "strip_structural_noise": [_sub(C.STRUCTURAL)],
+        "remove_headers_footers": [_sub(p) for p in C.HEADER_FOOTERS],
+        "fix_hyphenation": [_sub(C.HYPHENATION, "$1$2")],
+        "normalize_linebreaks": [_sub(C.LONE_BREAK, " "), _sub(C.MANY_BREAKS, "\n\n")],
+        "normalize_whitespace": [_sub(C.BLANKS, " "), str.strip],
+        "deduplicate_paragraphs": [_paragraphs],
+        "clean_formatting_artifacts": [_sub(C.PAGE_LABEL), _sub(C.RULES, " ")],
+        "remove_short_lines": [_keep_lines(lambda x: len(x.strip()) >= 2)],
+        "fix_numeric_spacing": [_sub(C.NUMBER_DOT, "$1.$2"), _sub(C.NUMBER_DASH, "$1-$2"), _sub(C.NUMBER_PERCENT, "$1%")],
+        "fix_letter_spacing": [_letters],
+        "fix_common_ocr_confusions": [_sub(C.ZERO_AS_O, "O"), _sub(C.ONE_AS_L, "l")],
+        "remove_garbage_lines": [_keep_lines(lambda x: len(x.strip()) >= 2 and bool(alnum.search(x)))],
+        "remove_urdu_marks": [_sub(C.URDU_MARKS)],
+        "collapse_whitespace": [lambda t: re.sub(r"\s+", " ", t)],
     }
 
 
+@cache
+def steps() -> dict[str, list[Callable[[str], str]]]:
+    """The chains by source type, encoding step included: the steps of cleaning's chains in their order."""
+    chains = {"digital": C.DIGITAL, "ocr": C.OCR, "urdu_ocr": C.URDU}
+    return {kind: [f for name in ("clean_encoding", *(step.__name__ for step in chain)) for f in single()[name]] for kind, chain in chains.items()}
+
+
 def clean(text: str | None, source_type: str | None) -> str | None:
     if text is None:
         return None

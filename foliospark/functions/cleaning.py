@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.functions import encoding
 from foliospark.functions.regex import DIGIT, SPACE, SPACE_SET, WORD, lines_of, py_strip, replace
 
 Step = Callable[[Column], Column]
@@ -20,7 +21,15 @@ Step = Callable[[Column], Column]
 # The patterns that define the cleaning steps.
 PRIVATE_USE = r"[\x{E000}-\x{F8FF}]"
 STRUCTURAL = rf"(?m)^[^a-zA-Z0-9{SPACE_SET}]{{3,}}[^\n]*$"
-PUBLICATION_FOOTER = rf"PIA Safety e-Magazine{SPACE}*\|{SPACE}*Issue-{DIGIT}+[^\n]*"
+#: The magazine whose footers are removed by default; another name makes another pattern.
+PUBLICATION = "PIA Safety e-Magazine"
+
+
+def publication_footer(name: str = PUBLICATION) -> str:
+    return rf"{name}{SPACE}*\|{SPACE}*Issue-{DIGIT}+[^\n]*"
+
+
+PUBLICATION_FOOTER = publication_footer()
 PAGE_FOOTER = rf"{DIGIT}+{SPACE}*\|{SPACE}*P{SPACE}*a{SPACE}*g{SPACE}*e"
 NUMBER_LINE = rf"(?m)^{SPACE}*{DIGIT}+{SPACE}*$"
 HYPHENATION = rf"({WORD}+)-\n({WORD}+)"
@@ -36,34 +45,25 @@ ALNUM = r"[\p{L}\p{N}]"
 HEADER_FOOTERS = (PUBLICATION_FOOTER, PAGE_FOOTER, NUMBER_LINE)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import unicodedata
+def _arrow(step: Callable[[str], str]) -> Step:
+    """A step in Python, in Arrow batches."""
+
+    @F.pandas_udf(T.StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([None if t is None else step(t) for t in s], dtype=object)
 
-    for s in batches:
-        yield s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return run
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; the one step that needs Python, in Arrow batches."""
-    return _nfkc(text)
+    """Compatibility composition; with the repair of encodings the one step that needs Python."""
+    return _arrow(encoding.nfkc)(text)
 
 
 def fix_mojibake(text: Column) -> Column:
-    """Repair of wrong encodings by the ftfy library where it is installed, else the text as it is."""
-    try:
-        import ftfy  # noqa: F401
-    except ImportError:
-        return text
-
-    @F.pandas_udf("string")
-    def fix(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ftfy
-
-        for s in batches:
-            yield s.map(lambda t: None if t is None else ftfy.fix_text(t))
-
-    return fix(text)
+    """Repair of wrong encodings: by the ftfy library where the workers have it, else the engine's own."""
+    return _arrow(lambda t: encoding.fixer()(t))(text)
 
 
 def private_use_to_space(text: Column) -> Column:
@@ -71,7 +71,7 @@ def private_use_to_space(text: Column) -> Column:
 
 
 def clean_encoding(text: Column) -> Column:
-    return private_use_to_space(nfkc(fix_mojibake(text)))
+    return private_use_to_space(_arrow(lambda t: encoding.nfkc(encoding.fixer()(t)))(text))
 
 
 def strip_structural_noise(text: Column) -> Column:
@@ -150,26 +150,26 @@ def chain(text: Column, steps: tuple[Step, ...]) -> Column:
     return reduce(lambda c, step: step(c), steps, text)
 
 
-def preprocess_digital(text: Column, noise_cleaner: Step | None = None, encoding: Step = clean_encoding) -> Column:
+def preprocess_digital(text: Column, noise_cleaner: Step | None = None, encode: Step = clean_encoding) -> Column:
     """The digital chain; a learned noise cleaner comes right after headers and footers."""
     steps = DIGITAL if noise_cleaner is None else (*DIGITAL[:2], noise_cleaner, *DIGITAL[2:])
-    return chain(encoding(text), steps)
+    return chain(encode(text), steps)
 
 
-def preprocess_ocr(text: Column, encoding: Step = clean_encoding) -> Column:
-    return chain(encoding(text), OCR)
+def preprocess_ocr(text: Column, encode: Step = clean_encoding) -> Column:
+    return chain(encode(text), OCR)
 
 
-def preprocess_urdu_ocr(text: Column, encoding: Step = clean_encoding) -> Column:
-    return chain(encoding(text), URDU)
+def preprocess_urdu_ocr(text: Column, encode: Step = clean_encoding) -> Column:
+    return chain(encode(text), URDU)
 
 
-def preprocess_page(text: Column, source_type: Column, encoding: Step = clean_encoding) -> Column:
+def preprocess_page(text: Column, source_type: Column, encode: Step = clean_encoding) -> Column:
     """The chain of the source type; unknown and null types leave the text as it is.
 
     The encoding step, the only one in Python, is applied once and below the choice of the chain.
     """
-    clean = encoding(text)
+    clean = encode(text)
     return F.when(source_type == "digital", chain(clean, DIGITAL)).when(source_type == "ocr", chain(clean, OCR)).when(source_type == "urdu_ocr", chain(clean, URDU)).otherwise(text)
 
 

@@ -1,9 +1,11 @@
-"""The engine's functions for SQL: cleaning steps as SQL functions, and a table function for chunks."""
+"""The engine's functions for SQL: every cleaning step, the whole chain, and a table function for chunks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,18 @@ _SQL = {
 }
 
 
+def _step(name: str):
+    """A cleaning step as an Arrow function."""
+
+    @F.pandas_udf(T.StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        parts = bulk.single()[name]
+        for s in batches:
+            yield pd.Series([None if t is None else reduce(lambda x, f: f(x), parts, t) for t in s], dtype=object)
+
+    return run
+
+
 def register(spark: SparkSession, prefix: str = "folio_") -> list[str]:
     """Registers the functions; gives their names."""
     for name, body in _SQL.items():
@@ -35,6 +49,8 @@ def register(spark: SparkSession, prefix: str = "folio_") -> list[str]:
             for i, c in enumerate(kept):
                 yield i, " ".join(c)
 
+    for name in set(bulk.single()) - set(_SQL):
+        spark.udf.register(f"{prefix}{name}", _step(name))
     spark.udtf.register(f"{prefix}chunks", Chunks)
     spark.udf.register(f"{prefix}clean_page", F.udf(bulk.clean, T.StringType(), useArrow=True))
-    return [f"{prefix}{n}" for n in (*_SQL, "chunks", "clean_page")]
+    return [f"{prefix}{n}" for n in (*sorted(bulk.single()), "chunks", "clean_page")]

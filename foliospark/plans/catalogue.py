@@ -65,13 +65,13 @@ TEXT_STEPS: dict[str, Callable] = {
     "clean_ocr": lambda t: cleaning.chain(t, cleaning.OCR),
     "clean_urdu": lambda t: cleaning.chain(t, cleaning.URDU),
 }
-#: Without SQL: NFKC has no counterpart there.
-NFKC_STEPS: dict[str, Callable] = {"t_nfkc": cleaning.nfkc, "t_encoding": cleaning.clean_encoding}
+#: Without SQL: NFKC and the repair of encodings have no counterpart there.
+NFKC_STEPS: dict[str, Callable] = {"t_nfkc": cleaning.nfkc, "t_mojibake": cleaning.fix_mojibake, "t_encoding": cleaning.clean_encoding}
 
 
 def clean_dispatch(spark: SparkSession, folder: str) -> DataFrame:
     """The chain of each page's source type, without the encoding step."""
-    return _texts(spark, folder).select("page_id", cleaning.preprocess_page(F.col("text"), F.col("source_type"), encoding=lambda t: t).alias("text"))
+    return _texts(spark, folder).select("page_id", cleaning.preprocess_page(F.col("text"), F.col("source_type"), encode=lambda t: t).alias("text"))
 
 
 def clean_pages(spark: SparkSession, folder: str) -> DataFrame:

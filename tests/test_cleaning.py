@@ -3,9 +3,15 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import bulk
 from foliospark.functions import cleaning as C
+from foliospark.functions.register import register
 
 CASES = [
     (C.nfkc, "ﬁle", "file"),
+    (C.fix_mojibake, "Ã©tÃ© â€œdÃ©jÃ\xa0â€\x9d", "été “déjà”"),
+    (C.fix_mojibake, "ÃƒÂ©", "é"),
+    (C.fix_mojibake, "Ø¯ÛŒÚ©Ú¾", "دیکھ"),
+    (C.fix_mojibake, "Größe»«Straße» É« l’été Её мир", "Größe»«Straße» É« l’été Её мир"),
+    (C.clean_encoding, "Ã©ï¬\x81", "éfi"),
     (C.private_use_to_space, "ab", "a b"),
     (C.strip_structural_noise, "ok\n***junk\n** x", "ok\n\n** x"),
     (C.remove_headers_footers, "x\n12 | P a g e\ny", "x\n\ny"),
@@ -58,6 +64,15 @@ def test_bulk_equals_expressions(spark, folder):
     assert both.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
 
 
+def test_sql_functions_equal_the_steps(spark):
+    names = register(spark)
+    assert len(names) == len(bulk.single()) + 2
+    df = spark.createDataFrame([(g,) for _, g, _ in CASES] + [(None,), ("",)], "t string")
+    for name in sorted(bulk.single()):
+        both = df.select(getattr(C, name)(F.col("t")).alias("a"), F.expr(f"folio_{name}(t)").alias("b"))
+        assert both.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0, name
+
+
 def test_dispatch_leaves_unknown_alone(spark):
     rows = spark.createDataFrame([("a\nb", "unknown"), ("a\nb", None), ("ab\ncd", "digital")], "t string, s string")
     got = [r["r"] for r in rows.select(C.preprocess_page(F.col("t"), F.col("s")).alias("r")).collect()]
