@@ -346,6 +346,28 @@ def _no_gain() -> np.ndarray:
     return np.array(sorted(out), np.int64)
 
 
+@cache
+def _arabic() -> np.ndarray:
+    out = np.zeros(0x110000, bool)
+    for c in _table("cp1256")[0][128:]:
+        out[ord(c)] = script(c) == "ARABIC"
+    return out
+
+
+def _mostly_explained(points: np.ndarray, begins: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of pairs that are sequences under cp1256 alone, those on lines whose Arabic letters such sequences may hold for the most part."""
+    if not len(at):
+        return at
+    edge = points == 10
+    edge[begins[begins < len(points)]] = True
+    line = np.cumsum(edge)
+    letter = _arabic()[points]
+    four = letter[np.minimum(at[:, None] + np.arange(4), len(points) - 1)].sum(axis=1)  # a sequence has four at most
+    there = np.bincount(line[letter], minlength=line[-1] + 1)
+    held = np.bincount(line[at], four, minlength=line[-1] + 1)
+    return at[2 * held[line[at]] >= there[line[at]]]
+
+
 LATIN, SMALL, CAPITAL, HIGH_CAPITAL, OTHER, ODD_SIGN, HIGH, DIGIT, SPACE, ARABIC, WEAK, CYRILLIC, SINGLE, BEYOND, GREEK, QUOTE = (1 << i for i in range(16))
 
 
@@ -383,12 +405,16 @@ def suspects(texts: pa.Array) -> np.ndarray:
     at = np.flatnonzero((p & HIGH != 0) & (q & HIGH != 0) & inside)
     hit = np.zeros(len(c), bool)
     lead, more = _sequence_masks()
-    at = at[(lead[points[at]] & more[points[at + 1]]) != 0]
+    both = lead[points[at]] & more[points[at + 1]]
+    at, both = at[both != 0], both[both != 0]
     if len(at):
         known = _no_gain()
         pair = points[at].astype(np.int64) << 21 | points[at + 1]
         place = np.minimum(np.searchsorted(known, pair), max(0, len(known) - 1))
-        hit[at[known[place] != pair]] = True
+        at, both = at[known[place] != pair], both[known[place] != pair]
+        arabic = both == 1 << LEGACY.index("cp1256")
+        hit[at[~arabic]] = True
+        hit[_mostly_explained(points, begins, at[arabic])] = True
     pairs = ((LATIN, OTHER), (OTHER, LATIN | DIGIT), (SMALL, ODD_SIGN | HIGH_CAPITAL), (ODD_SIGN, SMALL), (HIGH_CAPITAL, DIGIT), (LATIN, ARABIC), (ARABIC, LATIN), (CYRILLIC, GREEK), (GREEK, CYRILLIC), (SMALL, WEAK), (CYRILLIC, CYRILLIC), (ARABIC, OTHER | BEYOND), (OTHER | BEYOND, ARABIC), (BEYOND, OTHER | LATIN), (OTHER | LATIN, BEYOND))
     for a, b in pairs:
         hit[:-1] |= (p & a != 0) & (q & b != 0) & inside
