@@ -58,6 +58,20 @@ def safe_limit(model_limit: int, prefix_tokens: int, reserve: int = 5) -> int:
     return model_limit - prefix_tokens - reserve
 
 
+def chunk_number(page: Column, place: Column) -> Column:
+    """The page number plus the place of the chunk on its page."""
+    return (page + place).cast("int")
+
+
+def chunk_key(filename: Column, page: Column, chunk: Column) -> Column:
+    return F.concat(filename, F.lit("_"), page.cast("string"), F.lit("_"), chunk.cast("string"))
+
+
+def long_enough(text: Column, w: Windows = Windows()) -> Column:
+    """Whether a chunk has the least size, in white-space tokens and special ones; null has not."""
+    return F.size(tokens_of(text)) + w.special >= w.minimum
+
+
 def truncate(tokens: Column, limit: int) -> Column:
     return F.slice(tokens, 1, limit)
 
@@ -128,7 +142,7 @@ def pack_native(sentences: Column, w: Windows = Windows()) -> Column:
         )
 
     packed = F.aggregate(sentences, start, step, flushed)
-    return F.filter(packed, lambda c: F.size(tokens_of(c)) + w.special >= w.minimum)
+    return F.filter(packed, lambda c: long_enough(c, w))
 
 
 def chunk_pages(pages: DataFrame, w: Windows = Windows(), text: str = "text", native: bool = False, packer: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -140,11 +154,5 @@ def chunk_pages(pages: DataFrame, w: Windows = Windows(), text: str = "text", na
     sentences = split_sentences(F.col(text))
     packed = pages.filter(~is_blank(F.col(text))).withColumn("_s", sentences).withColumn("_c", pack_native(F.col("_s"), w) if native else (packer or pack_udf(w))(F.col("_s")))
     exploded = packed.select("file_hash", "filename", "page_number", F.posexplode("_c").alias("pos", "content"))
-    chunk = (F.col("page_number") + F.col("pos")).cast("int")
-    return exploded.select(
-        F.concat("filename", F.lit("_"), F.col("page_number").cast("string"), F.lit("_"), chunk.cast("string")).alias("id"),
-        F.col("file_hash").alias("document_id"),
-        "content",
-        "page_number",
-        chunk.alias("chunk_id"),
-    )
+    chunk = chunk_number(F.col("page_number"), F.col("pos"))
+    return exploded.select(chunk_key(F.col("filename"), F.col("page_number"), chunk).alias("id"), F.col("file_hash").alias("document_id"), "content", "page_number", chunk.alias("chunk_id"))

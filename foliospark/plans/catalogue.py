@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark.config import Config
 from foliospark.functions import bulk, cleaning
 from foliospark.functions.regex import is_blank, terms_of, tokens_of
-from foliospark.operators import chunking, embedding, jobs, noise, predicates, retrieval
+from foliospark.operators import chunking, embedding, jobs, noise, predicates, retrieval, upsert
 from foliospark.plans import ingest, search
 from foliospark.session import shared_dir
 from foliospark.sources.index import Index
@@ -169,14 +169,13 @@ def chunk_pack_native(spark: SparkSession, folder: str) -> DataFrame:
 def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Numbering alone: every sentence as a chunk."""
     s = _texts(spark, folder).select("page_id", "filename", "page_number", F.posexplode(chunking.split_english_sentences(F.col("text"))).alias("pos", "s"))
-    number = F.col("page_number") + F.col("pos")
-    return s.select("page_id", F.concat_ws("_", "filename", F.col("page_number").cast("string"), number.cast("string")).alias("id"), number.cast("bigint").alias("chunk_id"))
+    number = chunking.chunk_number(F.col("page_number"), F.col("pos"))
+    return s.select("page_id", chunking.chunk_key(F.col("filename"), F.col("page_number"), number).alias("id"), number.cast("bigint").alias("chunk_id"))
 
 
 def chunk_min_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks whose tokens and two special ones are 75 at least."""
-    chunks = _contents(spark, folder)
-    return chunks.filter(F.size(tokens_of(F.col("content"))) + 2 >= 75).select("id")
+    return _contents(spark, folder).filter(chunking.long_enough(F.col("content"))).select("id")
 
 
 def truncate_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,7 +209,7 @@ def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten rows nearest to vector 0."""
     e = load(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     q = e.filter(F.col("id") == 0).first()
-    near = retrieval.knn(e, [float(x) for x in q["embedding"]], 10)
+    near = retrieval.knn(e, [float(x) for x in q["embedding"]] if q else [1.0] * 64, 10)
     return near.select("id", F.round("score", 6).alias("score"))
 
 
@@ -225,8 +224,9 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _query_vector(docs: DataFrame) -> list[float]:
+    """The vector of the first usable row by id; a table without one has nothing to be near to, so any will do."""
     row = docs.filter(retrieval.usable_vector(F.col("embedding"), 64)).agg(F.min_by("embedding", "id").alias("v")).first()
-    return [float(x) for x in row["v"]]
+    return [float(x) for x in row["v"] or [1.0] * 64]
 
 
 def postings(spark: SparkSession, folder: str) -> DataFrame:
@@ -298,15 +298,21 @@ def index_append(spark: SparkSession, folder: str) -> DataFrame:
 def delete_by_filename(spark: SparkSession, folder: str) -> DataFrame:
     """The same after the file that sorts first was deleted."""
     index = _index(spark, folder)
-    index.delete_by_filename(index.files().agg(F.min("filename")).first()[0])
+    if name := index.files().agg(F.min("filename")).first()[0]:
+        index.delete_by_filename(name)
     return index.chunks().groupBy("document_id").agg(F.count("*").alias("rows"))
 
 
 def upsert_by_id(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks where rows of the index take the place of those with the same id."""
-    new = _docs(spark, folder).select("id", F.lit("index").alias("origin"))
-    old = load(spark, folder, "chunks").select("id").distinct().join(new.select("id"), "id", "left_anti").select("id", F.lit("chunks").alias("origin"))
-    return new.unionByName(old)
+    new = load(spark, folder, "vector_index").select("id", F.lit("index").alias("origin"))
+    return upsert.upsert(load(spark, folder, "chunks").select("id").distinct().withColumn("origin", F.lit("chunks")), new, "id")
+
+
+def one_per_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the rows of file_meta that share a file hash, the least by name, title and author."""
+    meta = load(spark, folder, "file_meta").select("file_hash", "filename", "title", "author")
+    return upsert.one_per_key(meta, "file_hash", ("filename", "title", "author"))
 
 
 def job_status(spark: SparkSession, folder: str) -> DataFrame:
@@ -315,7 +321,7 @@ def job_status(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with the metadata of their file, one row of several alike."""
-    meta = load(spark, folder, "file_meta").groupBy("file_hash").agg(F.max("title").alias("title"), F.max("author").alias("author"))
+    meta = ingest.file_metadata(load(spark, folder, "file_meta"), "title", "author")
     return _pages(spark, folder).join(meta, "file_hash", "left").select("page_id", "title", "author")
 
 
@@ -337,7 +343,7 @@ def queries() -> dict[str, Query]:
         clean_dispatch, clean_pages, clean_pages_bulk, noise_fit, noise_remove, route_scanned, english_ocr_valid, blank_filter, file_hash, dedup_reject, existing_semi,
         metadata_filter, language_detect, long_windows, chunk_pack, chunk_pack_native, chunk_ids, chunk_min_filter, truncate_tokens, embed_prefix, l2_normalize, embed_hash, zero_fill,
         knn_topk, knn_multi_query, postings, term_counts, bm25_topk, bm25_postings, minmax_norm, hybrid_topk, hybrid_filtered, hit_projection, rerank_order, search_end_to_end, index_append,
-        delete_by_filename, upsert_by_id, job_status, page_metadata, ingest_rows,
+        delete_by_filename, upsert_by_id, one_per_key, job_status, page_metadata, ingest_rows,
     )
     texts = {name: _text_query(step) for name, step in {**TEXT_STEPS, **NFKC_STEPS}.items()}
     split = {"sentences_en": _sentences(chunking.split_english_sentences), "sentences_urdu": _sentences(chunking.split_urdu_sentences)}

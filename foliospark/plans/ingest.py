@@ -26,12 +26,20 @@ def windows(config: Config) -> Windows:
     return Windows(config.safe_limit, config.overlap, config.minimum, config.special_tokens)
 
 
+def file_metadata(files: DataFrame, *columns: str) -> DataFrame:
+    """file_hash and the columns, one row a file: of several rows each column's greatest value that is not null."""
+    return files.groupBy("file_hash").agg(*[F.max(c).alias(c) for c in columns])
+
+
 def index_rows(chunks: DataFrame, files: DataFrame, embedder: Embedder, config: Config = Config()) -> DataFrame:
-    """Rows of the index: chunks with vectors and the metadata of their file, where the chunk's own fields win."""
-    meta = files.select("file_hash", "title", "author", "creation_date", "filename").dropDuplicates(["file_hash"])
-    joined = embed_documents(chunks, embedder, prefix=config.passage_prefix).join(meta, chunks["document_id"] == meta["file_hash"])
+    """Rows of the index: chunks with vectors and the metadata of their file, where the chunk's own fields win.
+
+    Metadata is joined before the texts are embedded, so that no vector is shuffled.
+    """
+    meta = file_metadata(files.filter(F.col("file_hash").isNotNull()), "title", "author", "creation_date", "filename")
     metadata = F.struct("file_hash", "title", "author", "creation_date", "filename", "page_number", "chunk_id").alias("metadata")
-    return joined.select("id", "document_id", "content", "page_number", "chunk_id", "embedding", metadata)
+    joined = chunks.join(meta, chunks["document_id"] == meta["file_hash"]).select("id", "document_id", "content", "page_number", "chunk_id", metadata)
+    return embed_documents(joined, embedder, prefix=config.passage_prefix).select("id", "document_id", "content", "page_number", "chunk_id", "embedding", "metadata")
 
 
 def ingest_pages(pages: DataFrame, files: DataFrame, embedder: Embedder, config: Config = Config(), bulk: bool = True) -> DataFrame:

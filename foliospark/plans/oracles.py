@@ -219,5 +219,6 @@ def oracle_sql() -> dict[str, str]:
         "delete_by_filename": f"WITH i AS ({_INDEXED}) SELECT document_id, count(*) AS rows FROM i WHERE metadata.filename <> (SELECT min(metadata.filename) FROM i) GROUP BY document_id",
         "upsert_by_id": "SELECT id, 'index' AS origin FROM vector_index UNION ALL SELECT DISTINCT id, 'chunks' FROM chunks WHERE id NOT IN (SELECT id FROM vector_index)",
         "job_status": "SELECT job_id, status, epoch_us(updated_at) AS at FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC NULLS LAST, status DESC NULLS LAST, error DESC NULLS LAST, filename DESC NULLS LAST) AS r FROM jobs WHERE job_id IS NOT NULL) WHERE r = 1",
+        "one_per_key": "SELECT file_hash, filename, title, author FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY filename NULLS FIRST, title NULLS FIRST, author NULLS FIRST) AS n FROM file_meta) WHERE n = 1",
         "page_metadata": "SELECT page_id, title, author FROM pages LEFT JOIN (SELECT file_hash, max(title) AS title, max(author) AS author FROM file_meta GROUP BY file_hash) USING (file_hash)",
     }

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.regex import is_blank
 from foliospark.operators import retrieval
+from foliospark.operators.upsert import one_per_key
 from foliospark.schema import FILES, INDEX
+from foliospark.session import materialise
 
 
 @dataclass(frozen=True)
@@ -135,11 +137,12 @@ class Index:
     def append(self, rows: DataFrame, on_conflict: str = "reject") -> Result:
         """Adds rows of the index schema. Files whose hash or name is known are rejected, or by "replace" take the old one's place.
 
-        Several files of one name or hash within the rows are one file if both agree; else all but the first hash of a name go.
+        Several files of one name or hash within the rows are one file if both agree; else all but the first hash of a name go. Of several
+        rows with one id the least by content, page and vector stays. The rows are evaluated once.
         """
         m = self.manifest()
         key = F.col("metadata.filename").alias("filename_key")
-        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in INDEX.fields])
+        rows = materialise(rows.select(*[F.col(f.name).cast(f.dataType) for f in INDEX.fields]), "rows")
         bad = rows.filter(F.col("embedding").isNotNull() & (F.size("embedding") != m["dimension"])).limit(1).count()
         if bad:
             return Result(False, f"an embedding has not {m['dimension']} numbers")
@@ -159,7 +162,8 @@ class Index:
         total, accepted = files.count(), kept.count()
         if not accepted:
             return Result(False, "nothing to index" if not total else "duplicate file or filename", 0, total)
-        chosen = rows.join(kept.select(F.col("file_hash").alias("document_id"), F.col("filename").alias("_name")), "document_id", "left_semi").dropDuplicates(["id"])
+        chosen = rows.join(kept.select(F.col("file_hash").alias("document_id"), F.col("filename").alias("_name")), "document_id", "left_semi")
+        chosen = one_per_key(chosen, "id", ("content", "page_number", "chunk_id", "embedding"))
         chosen.select("*", key, seq).write.parquet(f"{base}/chunks")
         stored = self.spark.read.parquet(f"{base}/chunks")
         text = stored.filter(~is_blank(F.col("content")))
