@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from foliospark.config import Config
 from foliospark.operators import jobs as J
 from foliospark.operators.embedding import Embedder, HashingEmbedder
-from foliospark.operators.retrieval import as_response
 from foliospark.plans import search as S
 from foliospark.schema import JOBS
 from foliospark.sources.index import Index
@@ -49,9 +48,17 @@ class Engine:
         return job
 
     def run(self) -> None:
-        """Indexes what has landed since the last run."""
+        """Indexes what has landed since the last run; files whose jobs have ended are removed from the landing folder."""
         query = I.ingest_stream(self.spark, self.index, f"{self.root}/landing/*", f"{self.root}/jobs", f"{self.root}/checkpoint", self.embedder, self.config, self.ocr, queued=False)
         query.awaitTermination()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        landing = hadoop.Path(f"{self.root}/landing")
+        fs = landing.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(landing):
+            return
+        waiting = {f.getPath().getName() for f in fs.listStatus(landing)}
+        for r in self.jobs().filter(F.col("job_id").isin(*waiting) & F.col("status").isin("success", "failed")).select("job_id").collect() if waiting else ():
+            fs.delete(hadoop.Path(landing, r["job_id"]), True)
 
     def jobs(self) -> DataFrame:
         """The last state of every job."""
@@ -68,5 +75,4 @@ class Engine:
 
     def search(self, query: str, limit: int = 5, filters: dict | None = None) -> dict:
         """The response of the search: by document its name, chunks, semantic and rerank score, best first."""
-        found = S.search(self.index, query, limit, filters, self.embedder, self.config)
-        return {"Succeeded": True, "response": as_response(found)}
+        return {"Succeeded": True, "response": S.run_search(self.index, query, limit, filters=filters, embedder=self.embedder, config=self.config)}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.regex import SPACE, is_blank, py_strip, tokens_of
+from foliospark.operators.tokenizers import Tokenizer, Whitespace
 
 URDU_END = rf"[۔?!]{SPACE}+"
 ENGLISH_END = rf"(?<=[.!?]){SPACE}+"
@@ -111,13 +112,21 @@ def whitespace_tokens(text: str) -> list[str]:
     return text.split()
 
 
-def pack_udf(w: Windows = Windows(), encode: Callable[[str], list] = whitespace_tokens, decode: Callable[[list], str] = " ".join) -> Callable[[Column], Column]:
-    """An Arrow function from an array of sentences to the chunks of a page; encode and decode are the tokenizer."""
+def pack_udf(w: Windows = Windows(), tokenizer: Tokenizer = Whitespace()) -> Callable[[Column], Column]:
+    """An Arrow function from an array of sentences to the chunks of a page, in the tokens of a tokenizer.
+
+    The least size is counted on the text of a chunk as it is encoded again, without blanks at its ends.
+    """
 
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def chunks(page: list) -> list[str]:
+            encoded = [tokenizer.encode(x if i == 0 or isinstance(tokenizer, Whitespace) else f" {x}") for i, x in enumerate(page)]
+            texts = [tokenizer.decode(c).strip() for c in pack(encoded, w)]
+            return [t for t in texts if len(tokenizer.encode(t)) + w.special >= w.minimum]
+
         for s in batches:
-            yield s.map(lambda page: [] if page is None else [decode(c) for c in pack([encode(x) for x in page], w) if len(encode(decode(c))) + w.special >= w.minimum])
+            yield s.map(lambda page: [] if page is None else chunks(page))
 
     return run
 

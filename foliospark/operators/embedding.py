@@ -97,6 +97,19 @@ def embed_documents(df: DataFrame, embedder: Embedder, text: str = "content", pr
     return df.withColumn("embedding", embed_column(prefixed, embedder, normalize=normalize))
 
 
+def embed_batch(texts: list[str | None], embedder: Embedder, prefix: str = "passage: ", batch: int = 32, normalize: bool = True) -> np.ndarray:
+    """The vectors of a list of texts on the driver, zero at blank places. An empty list, or one of blank texts alone, is an error."""
+    full = [i for i, t in enumerate(texts) if t is not None and t.strip()]
+    if not full:
+        raise ValueError("there is no text to embed")
+    out = np.zeros((len(texts), embedder.dimension), np.float32)
+    for at in range(0, len(full), batch):
+        part = full[at : at + batch]
+        x = embedder.encode([prefix + str(texts[i]) for i in part])
+        out[part] = unit_rows(x) if normalize else x
+    return out
+
+
 def with_throughput(df: DataFrame, name: str = "embedded") -> tuple[DataFrame, Observation]:
     """df and an observation of its rows and embedded rows, which has its counts once an action on df is done."""
     seen = Observation(name)

@@ -6,6 +6,7 @@ Scores are cut and ordered by their value to nine places and then by id, so that
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -218,6 +219,14 @@ def overlap_score(query: str) -> Callable[[Column], Column]:
     return score
 
 
+@cache
+def _reranker(model_name: str):
+    """Loaded once by each Python worker, which serves many tasks."""
+    from sentence_transformers import CrossEncoder
+
+    return CrossEncoder(model_name)
+
+
 def cross_encoder(model_name: str) -> Callable[[str], Callable[[Column], Column]]:
     """A sentence-transformers cross-encoder as a scorer, where the library and the model are installed."""
 
@@ -225,9 +234,8 @@ def cross_encoder(model_name: str) -> Callable[[str], Callable[[Column], Column]
         @F.pandas_udf("double")
         def run(batches: Iterator) -> Iterator:
             import pandas as pd
-            from sentence_transformers import CrossEncoder
 
-            model = CrossEncoder(model_name)
+            model = _reranker(model_name)
             for s in batches:
                 yield pd.Series(model.predict([(query, t or "") for t in s]))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark.config import Config
 from foliospark.functions import bulk, cleaning
 from foliospark.functions.regex import is_blank, terms_of, tokens_of
-from foliospark.operators import chunking, embedding, jobs, noise, predicates, retrieval, upsert
+from foliospark.operators import chunking, embedding, jobs, noise, predicates, retrieval, tokenizers, upsert
 from foliospark.plans import ingest, search
 from foliospark.session import shared_dir
 from foliospark.sources.index import Index
@@ -166,6 +166,11 @@ def chunk_pack_native(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk_pages(_cleaned(spark, folder), SMALL, native=True)
 
 
+def chunk_pack_subword(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of all pages in the tokens of a public sub-word vocabulary."""
+    return chunking.chunk_pages(_cleaned(spark, folder), SMALL, packer=chunking.pack_udf(SMALL, tokenizers.SubWord()))
+
+
 def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Numbering alone: every sentence as a chunk."""
     s = _texts(spark, folder).select("page_id", "filename", "page_number", F.posexplode(chunking.split_english_sentences(F.col("text"))).alias("pos", "s"))
@@ -341,7 +346,7 @@ def term_counts(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = (
         clean_dispatch, clean_pages, clean_pages_bulk, noise_fit, noise_remove, route_scanned, english_ocr_valid, blank_filter, file_hash, dedup_reject, existing_semi,
-        metadata_filter, language_detect, long_windows, chunk_pack, chunk_pack_native, chunk_ids, chunk_min_filter, truncate_tokens, embed_prefix, l2_normalize, embed_hash, zero_fill,
+        metadata_filter, language_detect, long_windows, chunk_pack, chunk_pack_native, chunk_pack_subword, chunk_ids, chunk_min_filter, truncate_tokens, embed_prefix, l2_normalize, embed_hash, zero_fill,
         knn_topk, knn_multi_query, postings, term_counts, bm25_topk, bm25_postings, minmax_norm, hybrid_topk, hybrid_filtered, hit_projection, rerank_order, search_end_to_end, index_append,
         delete_by_filename, upsert_by_id, one_per_key, job_status, page_metadata, ingest_rows,
     )

@@ -28,10 +28,21 @@ def search(index: Index, query: str, limit: int = 5, filters: dict | None = None
         kept = docs.filter(R.metadata_filter(filters)).select("id")
         posted, lens = posted.join(kept, "id", "left_semi"), lens.join(kept, "id", "left_semi")
     lexical = R.bm25_indexed(posted, lens, query, config.k1, config.b)
+    return search_table(docs, query, vector, limit, filters, config, lexical=lexical, **options)  # type: ignore[arg-type]
+
+
+class SearchError(RuntimeError):
+    """A search that failed, at planning or on an executor."""
+
+
+def run_search(index: Index, query: str, limit: int = 5, **options: object) -> dict:
+    """The response of a search, which is run here: so failures on executors, too, come as SearchError. A blank query is a ValueError."""
     try:
-        return search_table(docs, query, vector, limit, filters, config, lexical=lexical, **options)  # type: ignore[arg-type]
+        return R.as_response(search(index, query, limit, **options))  # type: ignore[arg-type]
+    except ValueError:
+        raise
     except Exception as e:
-        raise RuntimeError(f"search failed: {e}") from e
+        raise SearchError(f"search failed: {e}") from e
 
 
 def knn_recall(found: DataFrame, truth: DataFrame, query: str = "query", key: str = "id") -> float:

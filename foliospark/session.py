@@ -38,9 +38,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: The tables that materialise has written in this process.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that materialise has written since the last call; gives their number. Call it when results have been stored."""
+    count = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        count += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return count
+
+
 def materialise(df: DataFrame, what: str = "stage") -> DataFrame:
-    """Cut the lineage: write df to the shared folder as Parquet and read it back; it survives lost executors."""
+    """Cut the lineage: write df to the shared folder as Parquet and read it back; it survives lost executors.
+
+    The table stays until release is called, as results are lazy and may be read again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

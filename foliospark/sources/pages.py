@@ -29,6 +29,30 @@ def no_ocr(data: bytes, page: int) -> tuple[str, str]:
     return "", "ocr"
 
 
+_READERS: dict = {}
+
+
+def cached_reader(name: str, build: Callable[[], object]) -> object:
+    """A reader that is costly to build, such as an OCR model: built once by each Python worker under its name, and used by all its tasks."""
+    if name not in _READERS:
+        _READERS[name] = build()
+    return _READERS[name]
+
+
+def easyocr_urdu(languages: tuple[str, ...] = ("ur",), gpu: bool = False) -> Callable[[object], list[str]]:
+    """Urdu paragraphs of an image by the easyocr library, where it and its models are installed."""
+
+    def run(image: object) -> list[str]:
+        def build() -> object:
+            import easyocr
+
+            return easyocr.Reader(list(languages), gpu=gpu)
+
+        return cached_reader(f"easyocr-{'-'.join(languages)}-{gpu}", build).readtext(image, detail=0, paragraph=True)  # type: ignore[attr-defined]
+
+    return run
+
+
 def tesseract_ocr(dictionary: frozenset[str] = frozenset(), urdu: Callable[[object], list[str]] | None = None) -> Ocr:
     """OCR by pdf2image, OpenCV and pytesseract, where they are installed: English first, Urdu if that is no valid English.
 

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -235,3 +236,55 @@ def test_jobs(spark):
     assert jobs.status(df.union(df), "j") == {"status": "failed", "filename": "f", "error": "no"}
     assert jobs.status(df, "absent") == {"error": "job not found"}
     assert jobs.latest(df).count() == 2
+
+
+def test_one_per_key_and_upsert(spark):
+    from foliospark.operators.upsert import one_per_key, upsert
+
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("a", 1, "y"), ("b", None, "z"), ("b", 1, "q"), (None, 1, "n")], "k string, n int, s string").repartition(3)
+    assert {tuple(r) for r in one_per_key(rows, "k", ("n", "s")).collect()} == {("a", 1, "y"), ("b", None, "z"), (None, 1, "n")}
+    assert one_per_key(rows.filter("false"), "k", ("n",)).count() == 0
+    new = spark.createDataFrame([("b", 9, "new"), ("c", 9, "new")], "k string, n int, s string")
+    assert sorted(map(str, (r["s"] for r in upsert(rows.filter("k is null or k = 'b'"), new, "k").collect()))) == ["n", "new", "new"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_subword_chunks(spark, name):
+    from foliospark.operators.tokenizers import FOLDER, SubWord
+
+    if not os.path.exists(f"{FOLDER}/{name}"):
+        pytest.skip("no vocabularies here")
+    tok = SubWord(name)
+    w = chunking.Windows(limit=20, overlap=4, minimum=6)
+    page = [f"The committee approved survey number {i} of the harbour." for i in range(12)] + ["unsplittable" * 20 + ".", "دیکھ بھال <|endoftext|>."]
+    df = spark.createDataFrame([(page,), ([],), (None,)], "s array<string>").select(chunking.pack_udf(w, tok)(F.col("s")).alias("c"))
+    got = [r["c"] for r in df.collect()]
+    assert got[1:] == [[], []] and len(got[0]) > 8
+    assert all(6 <= len(tok.encode(c)) + w.special <= 20 + w.special + 3 for c in got[0])
+    for i in range(12):
+        assert any(f"number {i} of" in c for c in got[0])
+    assert any("<|endoftext|>" in c for c in got[0])
+
+
+def test_batches_of_blank_texts_are_an_error():
+    e = embedding.HashingEmbedder(8)
+    got = embedding.embed_batch(["a b", " ", None, "c"], e)
+    assert got.shape == (4, 8) and not got[1].any() and not got[2].any() and abs(float((got[0] ** 2).sum()) - 1) < 1e-6
+    for texts in ([], [" ", None]):
+        with pytest.raises(ValueError, match="no text"):
+            embedding.embed_batch(texts, e)
+
+
+def test_costly_readers_are_built_once():
+    from foliospark.sources.pages import cached_reader
+
+    built = []
+    assert cached_reader("t", lambda: built.append(1) or "r") == cached_reader("t", lambda: built.append(1) or "r") == "r" and built == [1]
+
+
+def test_release_deletes_what_materialise_wrote(spark):
+    from foliospark import session
+
+    session.release(spark)
+    df = session.materialise(spark.range(3), "t")
+    assert df.count() == 3 and session.release(spark) == 1 and session.release(spark) == 0

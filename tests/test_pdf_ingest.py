@@ -8,7 +8,7 @@ from foliospark.config import Config
 from foliospark.functions.register import register
 from foliospark.operators.embedding import HashingEmbedder
 from foliospark.plans.ingest import ingest
-from foliospark.plans.search import search
+from foliospark.plans.search import SearchError, search
 from foliospark.sources.index import Index
 from foliospark.sources.pages import PdfDataSource, explode_pages, extract, extract_pages, read_files
 from foliospark.sources.pdf_reader import PdfError, read_pdf
@@ -147,7 +147,7 @@ def test_stream(spark, tmp_path):
 
 
 def test_sql_functions(spark):
-    assert len(register(spark)) == 6
+    assert len(register(spark)) > 15
     assert spark.sql(r"SELECT folio_fix_hyphenation('a-\nb') AS r").first()["r"] == "ab"
     assert spark.sql("SELECT folio_normalize_linebreaks('a\nb\n\n\n\nc') AS r").first()["r"] == "a b\n\nc"
     assert spark.sql("SELECT folio_clean_page('a0b\nxx', 'ocr') AS r").first()["r"] == "aOb xx"
@@ -165,7 +165,16 @@ def test_engine(spark, tmp_path):
     engine.run()
     assert engine.job_status(job) == {"status": "success", "filename": "a.pdf"}
     assert engine.job_status(bad) == {"status": "failed", "filename": "bad.pdf", "error": "no PDF header"}
+    assert not list((tmp_path / "root" / "landing").glob("*"))  # what has ended is removed
+    engine.run()
     response = engine.search("flood barrier", 2)
     assert response["Succeeded"] and [d["document_name"] for d in response["response"].values()] == ["a.pdf"]
     with pytest.raises(FileNotFoundError):
         engine.submit(str(tmp_path / "absent.pdf"))
+    with pytest.raises(ValueError):
+        engine.search(" ")
+    for f in (tmp_path / "root").glob("*/segment-*/postings/*.parquet"):
+        f.write_bytes(b"gone")
+    spark.catalog.clearCache()
+    with pytest.raises(SearchError):  # it fails on an executor, not when it is planned
+        engine.search("flood barrier", 2)
