@@ -329,7 +329,8 @@ def near_duplicate_pairs(df: DataFrame, key: str = "id", text: str = "content",
 
 
 def near_duplicate_groups(df: DataFrame, key: str = "id", text: str = "content", least_words: int = 40, shingle: int = 3, threshold: float = 0.6) -> DataFrame:
-    """key, group: every distinct row with enough words and the group it belongs to (a group of one has only itself).
+    """key, group: every distinct row with enough words and the group it belongs to, named by its least key (a group of one has only
+    itself).
 
     Groups are the connected components of the pairs, found over classes by union-find in rounds: every class takes the least label
     among its neighbours and its label's label, until nothing changes.
@@ -348,4 +349,6 @@ def near_duplicate_groups(df: DataFrame, key: str = "id", text: str = "content",
         if not changed:
             break
     node = member.select("key", F.xxhash64("a", "b").alias("node"))
-    return node.join(label, "node", "left").select(F.col("key").alias(key), F.coalesce("label", "node").alias("group")).distinct()
+    grouped = node.join(label, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
+    named = grouped.groupBy("label").agg(F.min("key").alias("group"))
+    return grouped.join(named, "label").select(F.col("key").alias(key), "group").distinct()

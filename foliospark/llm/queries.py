@@ -113,9 +113,18 @@ nodes AS (SELECT site, k FROM keyed JOIN files USING (site) WHERE length(k) >= {
 
     shingles = f"""WITH c AS (SELECT DISTINCT id, {words % "content"} AS w FROM (SELECT DISTINCT id, content FROM chunks)), s AS (SELECT DISTINCT id, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM c WHERE len(w) >= 40)),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id), both_in AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id)"""
+    pairs = "SELECT id_a, id_b FROM both_in JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k >= 0.6 * (x.n + y.n - k)"
+    vectors = "SELECT id, embedding::DOUBLE[] AS v FROM vector_index WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
     return {
+        "p2_text": f"""{lines}, gone AS (SELECT page_id, line_no FROM keyed JOIN nodes USING (site, k)), parts AS (SELECT page_id, n AS line_no, l[n] AS line FROM (SELECT page_id, string_split(text, chr(10)) AS l, unnest(range(1, len(l) + 1)) AS n FROM pages)),
+kept AS (SELECT page_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE g.page_id IS NULL), '') AS text, count(g.page_id) AS removed FROM parts p LEFT JOIN gone g USING (page_id, line_no) GROUP BY page_id)
+SELECT page_id, kept.text, coalesce(removed, 0)::INT AS removed FROM pages LEFT JOIN kept USING (page_id)""",
+        "p4_found": f"""WITH v AS ({vectors}), s AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS c FROM v a, v b WHERE a.id <> b.id), r AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS n FROM s)
+SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM r WHERE n <= 5""",
+        "p5_groups": f"""{shingles.replace("WITH c", "WITH RECURSIVE c", 1)}, pairs AS ({pairs}), links AS (SELECT id_a AS x, id_b AS y FROM pairs UNION ALL SELECT id_b, id_a FROM pairs), reach AS (SELECT id, id AS other FROM n UNION SELECT reach.id, y FROM reach JOIN links ON reach.other = x)
+SELECT id, min(other) AS "group" FROM reach GROUP BY id""",
         "p2_found": f"{lines} SELECT page_id, line_no FROM keyed JOIN nodes USING (site, k)",
-        "p5_found": f"{shingles} SELECT id_a, id_b FROM both_in JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k >= 0.6 * (x.n + y.n - k)",
+        "p5_found": f"{shingles} {pairs}",
         "p7_found": "SELECT DISTINCT id FROM chunks WHERE length(content) > 1200",
         "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({grams('doc_id', 'documents')}) JOIN ({grams('item_id', 'eval_items')}) USING (g)",
     }
