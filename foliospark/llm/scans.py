@@ -61,7 +61,7 @@ def headers(pages: DataFrame, meta: DataFrame | None = None, least_letters: int
     whole = pages.filter(F.col("text").isNotNull() & F.col("file_hash").isNotNull()).select("file_hash", "page_number", "source_type", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
     lines = whole.select("file_hash", "page_number", F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)) > 0).alias("lines")).filter(F.size("lines") > 1)
     ends = lines.select("file_hash", "page_number", F.explode(F.array_distinct(F.concat(F.slice("lines", 1, 2), F.slice("lines", -2, 2)))).alias("line"))
-    keyed = ends.filter((F.length("line") <= 90) & ~F.col("line").rlike(r"[.,;:!?۔،]\s*$")).select("file_hash", "page_number", _letters(F.col("line")).alias("key"), F.col("line").rlike(_TAIL).alias("numbered")).filter(F.length("key") >= least_letters)
+    keyed = ends.filter((F.length("line") <= 90) & ~F.col("line").rlike(r"[.,;:!?۔،]\s*$")).select("file_hash", "page_number", _letters(F.col("line")).alias("key"), F.when(F.col("line").rlike(r"\d\s*$"), F.col("line").rlike(_TAIL)).otherwise(F.lit(False)).alias("numbered")).filter(F.length("key") >= least_letters)
     counted = keyed.groupBy("file_hash", "key").agg(F.count_distinct("page_number").alias("pages"), F.sum(F.col("numbered").cast("int")).alias("numbered"))
     sizes = whole.filter(F.col("source_type").isin(*SCANNED)).groupBy("file_hash").agg(F.count_distinct("page_number").alias("scans"))
     often = counted.join(sizes, "file_hash").filter((F.col("pages") >= LEAST) | ((F.col("pages") == 2) & ((F.col("numbered") > 0) | (F.col("pages") >= 0.1 * F.col("scans"))))).select("file_hash", "key")
@@ -76,7 +76,7 @@ def headers(pages: DataFrame, meta: DataFrame | None = None, least_letters: int
 
 
 def page_headers(scanned: DataFrame, known: DataFrame) -> DataFrame:
-    """file_hash, page_id, key (letters): the headers of the file that are among the lines of the page.
+    """file (hash of file_hash), page_id, key (letters): the headers of the file that are among the lines of the page.
 
     Lines meet headers in a join, so nothing grows with a file.
     """
@@ -85,8 +85,12 @@ def page_headers(scanned: DataFrame, known: DataFrame) -> DataFrame:
     lines = there.select("file_hash", "page_id", F.explode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1)).alias("line"))
     # a header has no more letters than the longest one that is known, and what may stand beside it
     short = lines.withColumn("key", _letters(F.col("line"))).filter(F.length("key").between(1, longest + BESIDE_LETTERS)).withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
-    forms = F.array_distinct(F.array("key", _letters(F.regexp_replace("line", f"(?U){_BESIDE}", "")), _letters(F.regexp_extract("line", f"(?U){_NAMED}", 1))))
-    return short.select("file_hash", "page_id", F.explode(forms).alias("key")).filter(F.length("key") > 0).join(known, ["file_hash", "key"])
+    beside = F.when(F.col("line").rlike(r"\d"), _letters(F.regexp_replace("line", f"(?U){_BESIDE}", "")))
+    named = F.when(F.contains("line", F.lit(":")), _letters(F.regexp_extract("line", f"(?U){_NAMED}", 1)))
+    forms = F.array_distinct(F.array_compact(F.array("key", beside, named)))
+    # what travels of a line is a hash; the text of the key comes from the headers
+    keyed = short.select("file_hash", "page_id", F.explode(forms).alias("key")).select(F.xxhash64("file_hash", "key").alias("h"), F.xxhash64("file_hash").alias("file"), "page_id")
+    return keyed.join(known.select(F.xxhash64("file_hash", "key").alias("h"), "key"), "h").select("file", "page_id", "key")
 
 
 # -- vocabulary and vectors --------------------------------------------------------------------------------------------------------
@@ -444,10 +448,10 @@ def repaired(pages: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     said = materialise(contexts(pages, vocab, [counts[w] for w in vocab]), "contexts")
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, vocab, [counts[w] for w in vocab], vectors(said, len(vocab))))  # bounded by SHARE
     scanned = pages.filter(F.col("source_type").isin(*SCANNED)).select("page_id", "file_hash", "page_number", "text")
-    linked = said.filter(F.col("word").isNotNull()).select("word", F.explode("pages").alias("p")).join(links(said, sent), "word").select("p.file_hash", "p.page_id", F.lit(None).cast("string").alias("key"), F.struct("word", "target", "near").alias("link"))
-    lines = page_headers(scanned, materialise(headers(pages, meta), "headers")).select(F.col("file_hash").cast("string").alias("file_hash"), "page_id", "key", F.lit(None).cast("struct<word: string, target: string, near: float>").alias("link"))
-    own = lines.unionByName(linked).groupBy(F.col("file_hash").alias("of_file"), F.col("page_id").alias("of_page")).agg(F.collect_set("key").alias("headers"), F.collect_set("link").alias("links"))
-    rows = scanned.join(own, F.col("file_hash").eqNullSafe(F.col("of_file")) & F.col("page_id").eqNullSafe(F.col("of_page")), "left").select("page_id", "page_number", "text", "headers", "links")
+    linked = said.filter(F.col("word").isNotNull()).select("word", F.explode("pages").alias("p")).join(links(said, sent), "word").select(F.xxhash64("p.file_hash").alias("file"), "p.page_id", F.lit(None).cast("string").alias("key"), F.struct("word", "target", "near").alias("link"))
+    lines = page_headers(scanned, materialise(headers(pages, meta), "headers")).select("file", "page_id", "key", F.lit(None).cast("struct<word: string, target: string, near: float>").alias("link"))
+    own = lines.unionByName(linked).groupBy(F.col("file").alias("of_file"), F.col("page_id").alias("of_page")).agg(F.collect_set("key").alias("headers"), F.collect_set("link").alias("links"))
+    rows = scanned.join(own, (F.xxhash64("file_hash") == F.col("of_file")) & F.col("page_id").eqNullSafe(F.col("of_page")), "left").select("page_id", "page_number", "text", "headers", "links")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _readers(sent)
