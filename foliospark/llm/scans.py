@@ -84,9 +84,9 @@ def page_headers(scanned: DataFrame, known: DataFrame) -> DataFrame:
     there = scanned.filter(F.col("text").isNotNull() & F.col("file_hash").isNotNull())
     lines = there.select("file_hash", "page_id", F.explode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1)).alias("line"))
     # a header has no more letters than the longest one that is known, and what may stand beside it
-    short = lines.withColumn("key", _letters(F.col("line"))).filter(F.length("key").between(1, longest + BESIDE_LETTERS)).withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
+    short = lines.withColumn("key", _letters(F.col("line"))).filter(F.length("key").between(1, longest + BESIDE_LETTERS))
     beside = F.when(F.col("line").rlike(r"\d"), _letters(F.regexp_replace("line", f"(?U){_BESIDE}", "")))
-    named = F.when(F.contains("line", F.lit(":")), _letters(F.regexp_extract("line", f"(?U){_NAMED}", 1)))
+    named = F.when(F.contains("line", F.lit(":")), _letters(F.regexp_extract("line", rf"(?U)^\s*{_NAMED[1:]}", 1)))
     forms = F.array_distinct(F.array_compact(F.array("key", beside, named)))
     # what travels of a line is a hash; the text of the key comes from the headers
     keyed = short.select("file_hash", "page_id", F.explode(forms).alias("key")).select(F.xxhash64("file_hash", "key").alias("h"), F.xxhash64("file_hash").alias("file"), "page_id")
