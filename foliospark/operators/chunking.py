@@ -121,7 +121,9 @@ def pack_udf(w: Windows = Windows(), tokenizer: Tokenizer = Whitespace()) -> Cal
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def chunks(page: list) -> list[str]:
-            encoded = [tokenizer.encode(x if i == 0 or isinstance(tokenizer, Whitespace) else f" {x}") for i, x in enumerate(page)]
+            if isinstance(tokenizer, Whitespace):  # its tokens are the same when they are encoded again
+                return [" ".join(c) for c in pack([x.split() for x in page], w) if len(c) + w.special >= w.minimum]
+            encoded = [tokenizer.encode(f" {x}" if i else x) for i, x in enumerate(page)]
             texts = [tokenizer.decode(c).strip() for c in pack(encoded, w)]
             return [t for t in texts if len(tokenizer.encode(t)) + w.special >= w.minimum]
 

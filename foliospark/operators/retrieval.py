@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from foliospark.config import Config
 from foliospark.functions.regex import terms_of
 from foliospark.operators.predicates import metadata_filter, require_text
+from foliospark.session import materialise
 
 PLACES = 9
 
@@ -44,13 +45,15 @@ def lengths(docs: DataFrame, key: str = "id", text: str = "content") -> DataFram
 def bm25(docs: DataFrame, query: str, key: str = "id", text: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """id, score of every text with a word of the query: the sum over query words, repeated ones added, of idf * tf / (tf + norm).
 
-    Works from texts without an index in one pass over them: each text is reduced to its length and the counts of the query's words
-    before anything moves. Ids must be unique. Texts without words count in the corpus size and the mean length.
+    Works from texts without an index in one pass over them: each text is reduced to its length and the counts of the query's words,
+    which are written once; statistics and scores come from there. Ids must be unique. Texts without words count in the corpus size and the
+    mean length.
     """
     terms = query_terms(query)
     distinct = sorted(set(terms))
     words = terms_of(F.coalesce(F.col(text), F.lit("")))
-    base = docs.select(F.col(key).alias("id"), words.alias("_w")).select("id", F.size("_w").alias("dl"), *[_count(F.col("_w"), t).alias(f"tf{i}") for i, t in enumerate(distinct)])
+    counts = docs.select(F.col(key).alias("id"), words.alias("_w")).select("id", F.size("_w").alias("dl"), *[_count(F.col("_w"), t).alias(f"tf{i}") for i, t in enumerate(distinct)])
+    base = materialise(counts, "counts")
     stats = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(distinct))]).first()
     n, avgdl = stats["n"] or 0, stats["avgdl"] or 1.0
     score = F.lit(0.0)
