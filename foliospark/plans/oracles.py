@@ -127,6 +127,24 @@ WINDOWS = f"""SELECT id, p AS pos, array_to_string(t[p * {_STEP} + 1 : p * {_STE
 FROM (SELECT id, t, unnest(range(0, CASE WHEN len(t) <= {SMALL.limit} THEN 1 ELSE 1 + CAST(ceil((len(t) - {SMALL.limit}) / {_STEP}) AS BIGINT) END)) AS p
 FROM (SELECT id, {_TOKENS} AS t FROM {_CHUNKS} WHERE regexp_matches(content, {_q(NOT_SPACE)})))"""
 
+def packed() -> str:
+    """The packing of sentences into chunks as a recursion over the sentences of all pages at once."""
+
+    def cut(kind: str) -> str:
+        return f"list_filter(list_transform({_CUT[kind]}, lambda s: {strip('s')}), lambda s: s <> '')"
+
+    limit, overlap = SMALL.limit, SMALL.overlap
+    carried = f"CASE WHEN len(now) > {overlap} THEN now[len(now) - {overlap - 1} : len(now)] ELSE now END"
+    windows = f"list_transform(range(0, 1 + CAST(ceil((len(t) - {limit}) / {_STEP}) AS BIGINT)), lambda k: t[k * {_STEP} + 1 : k * {_STEP} + {limit}])"
+    return f"""WITH RECURSIVE s AS (SELECT row_number() OVER () AS r, file_hash, filename, page_number, list_transform(CASE WHEN {_ARABIC} * 2 >= {_ANY} AND {_ANY} > 0 THEN {cut('ur')} ELSE {cut('en')} END, lambda x: regexp_extract_all(x, {_q(TOKEN)})) AS l FROM pages WHERE regexp_matches(text, {_q(NOT_SPACE)})),
+f AS (SELECT r, 0 AS i, []::VARCHAR[] AS now, []::VARCHAR[][] AS done FROM s UNION ALL
+SELECT r, i + 1, CASE WHEN len(t) > {limit} THEN [] WHEN len(now) + len(t) <= {limit} THEN now || t WHEN len({carried}) + len(t) <= {limit} THEN {carried} || t ELSE t END,
+done || CASE WHEN len(now) > 0 AND len(now) + len(t) > {limit} THEN [now] ELSE [] END || CASE WHEN len(t) > {limit} THEN {windows} ELSE [] END
+FROM (SELECT f.*, s.l[i + 1] AS t FROM f JOIN s USING (r) WHERE i < len(s.l))),
+k AS (SELECT s.*, list_filter(done || CASE WHEN len(now) > 0 THEN [now] ELSE [] END, lambda c: len(c) + {SMALL.special} >= {SMALL.minimum}) AS c FROM f JOIN s USING (r) WHERE i = len(s.l))
+SELECT filename || '_' || page_number || '_' || (page_number + n) AS id, file_hash AS document_id, array_to_string(c[n + 1], ' ') AS content, page_number, CAST(page_number + n AS INT) AS chunk_id FROM (SELECT *, unnest(range(0, len(c))) AS n FROM k)"""
+
+
 _ARABIC, _ANY = f"len(regexp_extract_all(text, {_q(ARABIC_LETTER)}))", r"len(regexp_extract_all(text, '\p{L}'))"
 _USABLE = "embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 _DOUBLES = "CAST(embedding AS DOUBLE[])"
@@ -198,6 +216,8 @@ def oracle_sql() -> dict[str, str]:
         "sentences_urdu": sentences("ur"),
         "chunk_ids": f"SELECT page_id, concat_ws('_', filename, page_number, page_number + pos) AS id, page_number + pos AS chunk_id FROM ({sentences('en', 'page_id, filename, page_number')})",
         "long_windows": WINDOWS,
+        "chunk_pack": packed(),
+        "chunk_pack_native": packed(),
         "chunk_min_filter": f"SELECT id FROM {_CHUNKS} WHERE len({_TOKENS}) + 2 >= 75",
         "truncate_tokens": f"SELECT id, array_to_string({_TOKENS}[1:16], ' ') AS head FROM {_CHUNKS} WHERE content IS NOT NULL",
         "embed_prefix": f"SELECT id, 'passage: ' || content AS passage, 'query: ' || content AS query FROM {_CHUNKS}",

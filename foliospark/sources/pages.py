@@ -1,18 +1,18 @@
 """PDF files as a source of pages.
 
 ``read_files`` scans binary files; ``extract_pages`` turns them into one row per page through a page provider, with errors as a column
-instead of an exception. ``PdfDataSource`` is the same as a Spark data source, one partition per file. Scanned pages go through an OCR
+instead of an exception. ``PdfDataSource`` is the same as a Spark data source, files packed into partitions by size. Scanned pages go through an OCR
 provider where one is installed; without one they are empty pages of type ocr.
 """
 
 from __future__ import annotations
 
-import glob
 import hashlib
 import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -132,28 +132,45 @@ def explode_pages(extracted: DataFrame) -> DataFrame:
     return extracted.select("file_hash", "filename", F.explode("pages").alias("p")).select("file_hash", "filename", "p.page_number", "p.text", "p.source_type")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
+    """Files by any path that Arrow's file systems know: local ones, hdfs://, s3://, gs://."""
+
     def __init__(self, options: dict):
-        self.path = options["path"]
-
-    def partitions(self) -> list[_File]:
-        if os.path.isdir(self.path):
-            return [_File(p) for p in sorted(glob.glob(os.path.join(self.path, "**", "*.pdf"), recursive=True))]
-        return [_File(self.path)]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            data = f.read()
-        found, name, digest = extract(data), os.path.basename(partition.path), hashlib.sha256(data).hexdigest()
-        if found["error"]:
-            yield digest, name, None, None, None, found["error"]
-        for p in found["pages"] or []:
-            yield digest, name, p["page_number"], p["text"], p["source_type"], None
+        self.path, self.bytes = options["path"], int(options.get("partition_bytes", 64 << 20))
+
+    def _open(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path else fs.FileSystem.from_uri(f"file://{os.path.abspath(self.path.removeprefix('file:'))}")
+
+    def partitions(self) -> list[_Files]:
+        """Files in order of their paths, packed until a partition has partition_bytes."""
+        store, root = self._open()
+        there = store.get_file_info(root)
+        found = store.get_file_info(fs.FileSelector(root, recursive=True)) if there.type == fs.FileType.Directory else [there]
+        out: list[_Files] = []
+        size = self.bytes
+        for f in sorted((f for f in found if f.type == fs.FileType.File and (f is there or f.path.lower().endswith(".pdf"))), key=lambda f: f.path):
+            if size + f.size > self.bytes:
+                out.append(_Files([]))
+                size = 0
+            out[-1].paths.append(f.path)
+            size += f.size
+        return out
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        store, _ = self._open()
+        for path in partition.paths:
+            with store.open_input_stream(path) as f:
+                data = f.read()
+            found, name, digest = extract(data), os.path.basename(path), hashlib.sha256(data).hexdigest()
+            if found["error"]:
+                yield digest, name, None, None, None, found["error"]
+            for p in found["pages"] or []:
+                yield digest, name, p["page_number"], p["text"], p["source_type"], None
 
 
 class PdfDataSource(DataSource):

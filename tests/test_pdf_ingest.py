@@ -178,3 +178,17 @@ def test_engine(spark, tmp_path):
     spark.catalog.clearCache()
     with pytest.raises(SearchError):  # it fails on an executor, not when it is planned
         engine.search("flood barrier", 2)
+
+
+def test_files_are_packed_into_partitions(tmp_path):
+    from foliospark.sources.pages import _Reader
+
+    for i in range(10):
+        write(tmp_path / "in" / str(i), f"{i}.PDF" if i % 2 else f"{i}.pdf", b"x" * 100)
+    write(tmp_path / "in", "note.txt", b"x")
+    for path in (str(tmp_path / "in"), f"file://{tmp_path}/in"):
+        packed = _Reader({"path": path, "partition_bytes": "300"}).partitions()
+        assert [len(p.paths) for p in packed] == [3, 3, 3, 1]
+    assert [len(p.paths) for p in _Reader({"path": str(tmp_path / "in" / "0" / "0.pdf")}).partitions()] == [1]
+    (tmp_path / "none").mkdir()
+    assert _Reader({"path": str(tmp_path / "none")}).partitions() == []
