@@ -183,6 +183,7 @@ def test_engine(spark, tmp_path):
 def test_files_are_packed_into_partitions(tmp_path):
     from foliospark.sources.pages import _Reader
 
+    (tmp_path / "in").mkdir()
     for i in range(10):
         write(tmp_path / "in" / str(i), f"{i}.PDF" if i % 2 else f"{i}.pdf", b"x" * 100)
     write(tmp_path / "in", "note.txt", b"x")
