@@ -38,8 +38,12 @@ def _letters(line: Column) -> Column:
     return F.lower(F.upper(F.regexp_replace(line, r"\P{L}+", "")))
 
 
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
 def letters(line: str) -> str:
-    return "".join(c for c in line if c.isalpha()).upper().lower()
+    key = _NO_LETTERS.sub("", line)
+    return (key if key.isalpha() else "".join(c for c in key if c.isalpha())).upper().lower()
 
 
 #: A page number beside a header. Fixed value.
@@ -274,6 +278,9 @@ NEAR_MIXED, NEAR_LETTERS, NEAR_NAMES = -0.5, 0.05, 0.3
 USUAL = (("c", "e"), ("rn", "m"), ("li", "h"), ("l", "i"), ("i", "l"))
 
 
+_DIGIT, _BESIDE_LINE, _NAMED_LINE = re.compile(r"\d"), re.compile(_BESIDE), re.compile(_NAMED)
+
+
 class Reader:
     """The repair of single pages with one vocabulary and its vectors."""
 
@@ -373,13 +380,11 @@ class Reader:
     def is_header(self, line: str, headers: frozenset[str]) -> bool:
         if not headers:
             return False
-        key = letters(line)
-        if key in headers:
+        if letters(line) in headers:
             return True
-        short = re.sub(_BESIDE, "", line)
-        if short != line and letters(short) in headers:
+        if _DIGIT.search(line) and (short := _BESIDE_LINE.sub("", line)) != line and letters(short) in headers:
             return True
-        m = re.match(_NAMED, line)
+        m = _NAMED_LINE.match(line) if ":" in line else None
         return bool(m) and letters(m.group(1)) in headers
 
     def joined(self, m: re.Match, kinds: set[str]) -> str:
