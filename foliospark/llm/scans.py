@@ -64,7 +64,7 @@ def headers(pages: DataFrame, meta: DataFrame | None = None, least_letters: int
     """
     whole = pages.filter(F.col("text").isNotNull() & F.col("file_hash").isNotNull()).select("file_hash", "page_number", "source_type", F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
     lines = whole.select("file_hash", "page_number", F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)) > 0).alias("lines")).filter(F.size("lines") > 1)
-    ends = lines.select("file_hash", "page_number", F.explode(F.array_distinct(F.concat(F.slice("lines", 1, 2), F.slice("lines", -2, 2)))).alias("line"))
+    ends = lines.select("file_hash", "page_number", F.explode_outer(F.array_distinct(F.concat(F.slice("lines", 1, 2), F.slice("lines", -2, 2)))).alias("line"))
     keyed = ends.filter((F.length("line") <= 90) & ~F.col("line").rlike(r"[.,;:!?۔،]\s*$")).select("file_hash", "page_number", _letters(F.col("line")).alias("key"), F.when(F.col("line").rlike(r"\d\s*$"), F.col("line").rlike(_TAIL)).otherwise(F.lit(False)).alias("numbered")).filter(F.length("key") >= least_letters)
     counted = keyed.groupBy("file_hash", "key").agg(F.count_distinct("page_number").alias("pages"), F.sum(F.col("numbered").cast("int")).alias("numbered"))
     sizes = whole.filter(F.col("source_type").isin(*SCANNED)).groupBy("file_hash").agg(F.count_distinct("page_number").alias("scans"))
@@ -86,14 +86,14 @@ def page_headers(scanned: DataFrame, known: DataFrame) -> DataFrame:
     """
     longest = known.agg(F.max(F.length("key"))).first()[0] or 0
     there = scanned.filter(F.col("text").isNotNull() & F.col("file_hash").isNotNull())
-    lines = there.select("file_hash", "page_id", F.explode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1)).alias("line"))
+    lines = there.select("file_hash", "page_id", F.explode_outer(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1)).alias("line"))
     # a header has no more letters than the longest one that is known, and what may stand beside it
     short = lines.withColumn("key", _letters(F.col("line"))).filter(F.length("key").between(1, longest + BESIDE_LETTERS))
     beside = F.when(F.col("line").rlike(r"\d"), _letters(F.regexp_replace("line", f"(?U){_BESIDE}", "")))
     named = F.when(F.contains("line", F.lit(":")), _letters(F.regexp_extract("line", rf"(?U)^\s*{_NAMED[1:]}", 1)))
     forms = F.array_distinct(F.array_compact(F.array("key", beside, named)))
     # what travels of a line is a hash; the text of the key comes from the headers
-    keyed = short.select("file_hash", "page_id", F.explode(forms).alias("key")).select(F.xxhash64("file_hash", "key").alias("h"), F.xxhash64("file_hash").alias("file"), "page_id")
+    keyed = short.select("file_hash", "page_id", F.explode_outer(forms).alias("key")).filter(F.length("key") > 0).select(F.xxhash64("file_hash", "key").alias("h"), F.xxhash64("file_hash").alias("file"), "page_id")
     return keyed.join(known.select(F.xxhash64("file_hash", "key").alias("h"), "key"), "h").select("file", "page_id", "key")
 
 
