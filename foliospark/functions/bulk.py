@@ -89,5 +89,8 @@ def _clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
 
 
 def preprocess_page_bulk(text: Column, source_type: Column) -> Column:
-    """The same results as cleaning.preprocess_page, in one Arrow function."""
-    return _clean(text, source_type)
+    """The same results as cleaning.preprocess_page, in one Arrow function.
+
+    Marked as not deterministic, so that filters on its result don't run it again below.
+    """
+    return _clean.asNondeterministic()(text, source_type)

@@ -164,6 +164,7 @@ def chunk_pages(pages: DataFrame, w: Windows = Windows(), text: str = "text", na
     """
     sentences = split_sentences(F.col(text))
     packed = pages.filter(~is_blank(F.col(text))).withColumn("_s", sentences).withColumn("_c", pack_native(F.col("_s"), w) if native else (packer or pack_udf(w))(F.col("_s")))
-    exploded = packed.select("file_hash", "filename", "page_number", F.posexplode("_c").alias("pos", "content"))
+    # an inner explode would infer a filter on the packed column, which is then computed twice, and below a repartition
+    exploded = packed.select("file_hash", "filename", "page_number", F.posexplode_outer("_c").alias("pos", "content")).filter(F.col("pos").isNotNull())
     chunk = chunk_number(F.col("page_number"), F.col("pos"))
     return exploded.select(chunk_key(F.col("filename"), F.col("page_number"), chunk).alias("id"), F.col("file_hash").alias("document_id"), "content", "page_number", chunk.alias("chunk_id"))

@@ -29,7 +29,7 @@ class AdaptiveNoise:
         rows = docs.select(*keys, F.coalesce(text, F.lit("")).alias("_text"))
         lines = F.filter(F.transform(lines_of(F.col("_text")), py_strip), lambda x: x != "")
         ends = rows.select(*keys, lines.alias("_lines")).select(*keys, F.when(F.size("_lines") > 2 * self.edge, F.concat(F.slice("_lines", 1, self.edge), F.slice("_lines", -self.edge, self.edge))).otherwise(F.col("_lines")).alias("_lines"))
-        counted = ends.select(*keys, F.explode(F.array_distinct("_lines")).alias("line")).groupBy(*keys, "line").agg(F.count("*").alias("df"))
+        counted = ends.select(*keys, F.explode_outer(F.array_distinct("_lines")).alias("line")).filter(F.col("line").isNotNull()).groupBy(*keys, "line").agg(F.count("*").alias("df"))
         if keys:
             total = rows.groupBy(*keys).agg(F.count("*").alias("docs"))
             joined = counted.join(total, keys)

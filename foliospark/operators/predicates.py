@@ -40,7 +40,7 @@ def with_valid_english(pages: DataFrame, dictionary: DataFrame, key: str = "page
     Keys must be unique; null text has no words and is not valid.
     """
     counted = pages.select(F.col(key), english_words(F.col(text)).alias("w"))
-    exploded = counted.select(key, F.explode(F.array_distinct("w")).alias(word))
+    exploded = counted.select(key, F.explode_outer(F.array_distinct("w")).alias(word)).filter(F.col(word).isNotNull())
     missing = exploded.join(dictionary.select(word).distinct(), word, "left_anti").groupBy(key).agg(F.count("*").alias("unknown"))
     joined = counted.select(key, F.size("w").alias("words")).join(missing, key, "left")
     unknown = F.coalesce("unknown", F.lit(0))

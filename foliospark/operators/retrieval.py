@@ -34,7 +34,7 @@ def query_terms(query: str) -> list[str]:
 
 def postings(docs: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
     """term, id, tf: how often each word stands in each text; one row per word and text is the only shuffle."""
-    return docs.select(F.col(key).alias("id"), F.explode(terms_of(F.col(text))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    return docs.select(F.col(key).alias("id"), F.explode_outer(terms_of(F.col(text))).alias("term")).filter(F.col("term").isNotNull()).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
 def lengths(docs: DataFrame, key: str = "id", text: str = "content") -> DataFrame:

@@ -139,7 +139,7 @@ def language_detect(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sentences(split: Callable) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return _texts(spark, folder).select("page_id", F.posexplode(split(F.col("text"))).alias("pos", "sentence")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
+        return _texts(spark, folder).select("page_id", F.posexplode_outer(split(F.col("text"))).alias("pos", "sentence")).filter(F.col("pos").isNotNull()).select("page_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
     return run
 
@@ -148,7 +148,7 @@ def long_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of 64 tokens with 8 shared, of every chunk's content."""
     chunks = _contents(spark, folder).filter(~is_blank(F.col("content")))
     cut = chunks.select("id", tokens_of(F.col("content")).alias("t"))
-    windows = cut.select("id", F.posexplode(chunking.long_windows(F.col("t"), SMALL.limit, SMALL.overlap)).alias("pos", "w"))
+    windows = cut.select("id", F.posexplode_outer(chunking.long_windows(F.col("t"), SMALL.limit, SMALL.overlap)).alias("pos", "w")).filter(F.col("pos").isNotNull())
     return windows.select("id", F.col("pos").cast("bigint").alias("pos"), F.array_join("w", " ").alias("content"), F.size("w").cast("bigint").alias("tokens"))
 
 
@@ -173,7 +173,7 @@ def chunk_pack_subword(spark: SparkSession, folder: str) -> DataFrame:
 
 def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Numbering alone: every sentence as a chunk."""
-    s = _texts(spark, folder).select("page_id", "filename", "page_number", F.posexplode(chunking.split_english_sentences(F.col("text"))).alias("pos", "s"))
+    s = _texts(spark, folder).select("page_id", "filename", "page_number", F.posexplode_outer(chunking.split_english_sentences(F.col("text"))).alias("pos", "s")).filter(F.col("pos").isNotNull())
     number = chunking.chunk_number(F.col("page_number"), F.col("pos"))
     return s.select("page_id", chunking.chunk_key(F.col("filename"), F.col("page_number"), number).alias("id"), number.cast("bigint").alias("chunk_id"))
 
@@ -195,7 +195,7 @@ def embed_prefix(spark: SparkSession, folder: str) -> DataFrame:
 def l2_normalize(spark: SparkSession, folder: str) -> DataFrame:
     """Length before, and numbers after, of every vector of the right length."""
     rows = load(spark, folder, "vector_index").filter(retrieval.usable_vector(F.col("embedding"), 64))
-    unit = rows.select("id", F.posexplode(embedding.l2_normalize(F.col("embedding"))).alias("pos", "x"))
+    unit = rows.select("id", F.posexplode_outer(embedding.l2_normalize(F.col("embedding"))).alias("pos", "x")).filter(F.col("pos").isNotNull())
     return unit.select("id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
 
