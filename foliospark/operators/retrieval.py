@@ -194,11 +194,12 @@ def fuse(legs: dict[str, tuple[DataFrame, float]], floor: float = 0.001) -> Data
     return min_max(union, floor=floor).groupBy("id").agg((F.sum(F.col("norm") * F.col("weight")) / total).alias("score"))
 
 
-def hybrid(docs: DataFrame, query: str, vector: list[float], k: int, filters: dict | None = None, config: Config = Config(), lexical: DataFrame | None = None) -> DataFrame:
-    """id, score of the k best of both legs. Filters apply before the legs; lexical replaces the leg from texts by one from an index."""
+def hybrid(docs: DataFrame, query: str, vector: list[float], k: int, filters: dict | None = None, config: Config = Config(), lexical: DataFrame | None = None, nearest: DataFrame | None = None) -> DataFrame:
+    """id, score of the k best of both legs. Filters apply before the legs; lexical and nearest replace the legs from texts and vectors by
+    ones from an index."""
     kept = docs.filter(metadata_filter(filters)) if filters else docs
     leg = bm25(kept, query, k1=config.k1, b=config.b) if lexical is None else lexical
-    return top_k(fuse({"lexical": (top_k(leg, k), config.lexical_weight), "vector": (knn(kept, vector, k), config.vector_weight)}, config.normal_floor), k)
+    return top_k(fuse({"lexical": (top_k(leg, k), config.lexical_weight), "vector": (knn(kept, vector, k) if nearest is None else top_k(nearest, k), config.vector_weight)}, config.normal_floor), k)
 
 
 def project_hits(docs: DataFrame, scored: DataFrame) -> DataFrame:

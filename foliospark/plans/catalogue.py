@@ -15,6 +15,7 @@ from foliospark.operators import chunking, embedding, jobs, noise, predicates, r
 from foliospark.plans import ingest, search
 from foliospark.session import shared_dir
 from foliospark.sources.index import Index
+from foliospark.sources.vectors import VectorIndex
 from foliospark.tables import load, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,6 +225,14 @@ def knn_multi_query(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.knn_many(e, e.filter(F.col("id") % 100 == 0), 5, "id").select("query", "id", F.round("score", 6).alias("score"))
 
 
+def ann_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten rows nearest to vector 0 by an approximate index of all rows."""
+    e = load(spark, folder, "embeddings")
+    q = e.filter(F.col("vec_id") == 0).first()
+    index = VectorIndex.build(e, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", "vec_id", dim=64)
+    return index.search([float(x) for x in q["embedding"]] if q else [1.0] * 64, 10).select("id", F.round("score", 6).alias("score"))
+
+
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
     return spread(load(spark, folder, "vector_index"))
 
@@ -347,7 +356,7 @@ def queries() -> dict[str, Query]:
     named = (
         clean_dispatch, clean_pages, clean_pages_bulk, noise_fit, noise_remove, route_scanned, english_ocr_valid, blank_filter, file_hash, dedup_reject, existing_semi,
         metadata_filter, language_detect, long_windows, chunk_pack, chunk_pack_native, chunk_pack_subword, chunk_ids, chunk_min_filter, truncate_tokens, embed_prefix, l2_normalize, embed_hash, zero_fill,
-        knn_topk, knn_multi_query, postings, term_counts, bm25_topk, bm25_postings, minmax_norm, hybrid_topk, hybrid_filtered, hit_projection, rerank_order, search_end_to_end, index_append,
+        knn_topk, ann_topk, knn_multi_query, postings, term_counts, bm25_topk, bm25_postings, minmax_norm, hybrid_topk, hybrid_filtered, hit_projection, rerank_order, search_end_to_end, index_append,
         delete_by_filename, upsert_by_id, one_per_key, job_status, page_metadata, ingest_rows,
     )
     texts = {name: _text_query(step) for name, step in {**TEXT_STEPS, **NFKC_STEPS}.items()}

@@ -10,16 +10,20 @@ from foliospark.config import Config
 from foliospark.operators import retrieval as R
 from foliospark.operators.embedding import Embedder, HashingEmbedder, embed_single
 from foliospark.sources.index import Index
+from foliospark.sources.vectors import VectorIndex
 
 
-def search_table(docs: DataFrame, query: str, vector: list[float], limit: int = 5, filters: dict | None = None, config: Config = Config(), scorer: Callable[[str], Callable[[Column], Column]] = R.overlap_score, lexical: DataFrame | None = None, max_docs: int | None = None) -> DataFrame:
+def search_table(docs: DataFrame, query: str, vector: list[float], limit: int = 5, filters: dict | None = None, config: Config = Config(), scorer: Callable[[str], Callable[[Column], Column]] = R.overlap_score, lexical: DataFrame | None = None, nearest: DataFrame | None = None, max_docs: int | None = None) -> DataFrame:
     """The roll-up for a query over rows of the index; limit sets the candidates (limit * overfetch), not the documents."""
-    scored = R.hybrid(docs, query, vector, limit * config.overfetch, filters, config, lexical)
+    scored = R.hybrid(docs, query, vector, limit * config.overfetch, filters, config, lexical, nearest)
     return R.roll_up(R.rerank(R.project_hits(docs, scored), query, scorer), config.chunks_per_document, max_docs=max_docs)
 
 
-def search(index: Index, query: str, limit: int = 5, filters: dict | None = None, embedder: Embedder | None = None, config: Config = Config(), is_query: bool = False, **options: object) -> DataFrame:
-    """Search an index. Its postings serve the lexical leg; the query gets the passage prefix unless is_query is set."""
+def search(index: Index, query: str, limit: int = 5, filters: dict | None = None, embedder: Embedder | None = None, config: Config = Config(), is_query: bool = False, vectors: VectorIndex | None = None, **options: object) -> DataFrame:
+    """Search an index. Its postings serve the lexical leg; the query gets the passage prefix unless is_query is set.
+
+    vectors serves the vector leg of a search without filters from an approximate index instead of all rows.
+    """
     embedder = embedder or HashingEmbedder(index.manifest()["dimension"])
     vector = embed_single(query, embedder, is_query, config.query_prefix, config.passage_prefix)
     docs = index.chunks()
@@ -28,7 +32,8 @@ def search(index: Index, query: str, limit: int = 5, filters: dict | None = None
         kept = docs.filter(R.metadata_filter(filters)).select("id")
         posted, lens = posted.join(kept, "id", "left_semi"), lens.join(kept, "id", "left_semi")
     lexical = R.bm25_indexed(posted, lens, query, config.k1, config.b)
-    return search_table(docs, query, vector, limit, filters, config, lexical=lexical, **options)  # type: ignore[arg-type]
+    nearest = vectors.search(vector, limit * config.overfetch) if vectors is not None and not filters else None
+    return search_table(docs, query, vector, limit, filters, config, lexical=lexical, nearest=nearest, **options)  # type: ignore[arg-type]
 
 
 class SearchError(RuntimeError):
